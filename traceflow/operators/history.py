@@ -52,6 +52,8 @@ def history_positions(attempts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFram
 def first_per_key(table: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The first row of every key; ``order`` stands for the row order of a file."""
     others = [c for c in table.columns if c != key]
+    if len(others) == 1:
+        return table.groupBy(key).agg(F.min(others[0]).alias(others[0]))
     ranking = F.struct(*order, *[c for c in others if c not in order])
     return (
         table.groupBy(key)

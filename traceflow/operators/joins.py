@@ -2,8 +2,9 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A lookup table is broadcast only when it is measured to be below both bounds.
 BROADCAST_ROWS = 1_000_000
@@ -16,12 +17,22 @@ HOT_ROWS = 2_000_000
 SALTS = 64
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """Approximate size of a row: texts and lists by content, the rest 8 bytes each."""
+    size = F.lit(8 * len(df.columns)).cast("long")
+    for field in df.schema.fields:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(field.name)), F.lit(0))
+    return size
+
+
 def fits_broadcast(
     df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> bool:
     """Measure ``df`` and tell whether it may be broadcast."""
-    width = F.octet_length(F.to_json(F.struct(*df.columns)))
-    size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(width).alias("bytes")).first()
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(row_bytes(df)).alias("bytes")).first()
     return size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes
 
 

@@ -40,11 +40,14 @@ def one_kc(
     order: Sequence[str] = ("id",),
     kc: str = "knowledgecomponent_id",
 ) -> DataFrame:
-    """One topic per question: the ``first`` or the ``last`` relation row."""
+    """One topic per question: the ``first`` or the ``last`` relation row.
+
+    ``order`` must tell all rows of a question apart. A single number as order
+    key keeps the aggregate hash based.
+    """
     pick = {"first": F.min_by, "last": F.max_by}[rule]
-    return question_kc.groupBy("question_id").agg(
-        pick(kc, F.struct(*order, kc)).cast("long").alias("kc_id")
-    )
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    return question_kc.groupBy("question_id").agg(pick(kc, place).cast("long").alias("kc_id"))
 
 
 def explode_steps(sequences: DataFrame) -> DataFrame:

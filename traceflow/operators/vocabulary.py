@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from traceflow.functions.text import words
 from traceflow.operators.joins import fits_broadcast, salted_join
 
+# More positions than a text can have.
+_POSITIONS = 2**31
+
 
 def vocabulary(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc, word, ix``: the words of each text numbered by first appearance."""
@@ -17,16 +20,24 @@ def vocabulary(documents: DataFrame, doc: str = "doc_id", text: str = "text") ->
 
 
 def word_counts(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Occurrences of each word in all texts and the place it appears first."""
+    """Occurrences of each word in all texts and the place it appears first.
+
+    Text ids are whole numbers. Id and position are compared as one decimal,
+    which keeps the aggregate hash based and complete before the shuffle.
+    """
+    positions = F.lit(_POSITIONS).cast("decimal(11,0)")
+    place = F.col(doc).cast("decimal(20,0)") * positions + F.col("pos")
+    first_pos = F.pmod(F.col("_first"), positions)
     return (
         documents.select(doc, F.posexplode(words(text)).alias("pos", "word"))
         .groupBy("word")
-        .agg(
-            F.count(F.lit(1)).alias("occurrences"),
-            F.min(F.struct(doc, "pos")).alias("_first"),
+        .agg(F.count(F.lit(1)).alias("occurrences"), F.min(place).alias("_first"))
+        .select(
+            "word",
+            "occurrences",
+            ((F.col("_first") - first_pos) / positions).cast("long").alias("first_doc"),
+            first_pos.cast("int").alias("first_pos"),
         )
-        .select("word", "occurrences", F.col("_first")[doc].alias("first_doc"), "_first.pos")
-        .withColumnRenamed("pos", "first_pos")
     )
 
 

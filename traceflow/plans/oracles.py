@@ -445,7 +445,8 @@ FROM (SELECT doc_id, word, min(pos) AS first_pos FROM words GROUP BY doc_id, wor
        CAST(first(pos ORDER BY doc_id, pos) AS INTEGER) AS first_pos FROM words GROUP BY word""",
         "mean_pool": _with(WORDS)
         + """, counted AS (
-    SELECT doc_id, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % 500 AS vec_id,
+    SELECT doc_id,
+           (unicode(word) * 7 + unicode(word[-1]) * 31 + length(word) * 101) % 500 AS vec_id,
            count(*) AS times
     FROM words GROUP BY ALL),
 dims AS (
