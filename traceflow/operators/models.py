@@ -1,9 +1,10 @@
 """Fit, apply and compare sequence classifiers with Spark ML."""
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -83,6 +84,26 @@ def predict(model: Model, inputs: DataFrame) -> DataFrame:
     )
 
 
+def _fit_epochs(
+    train: DataFrame, held: DataFrame, cell: Cell, width: int, epochs: int, iterations: int, seed: int
+) -> Iterator[tuple]:
+    """Metric rows of one cell: one per epoch and split."""
+    model = None
+    for epoch in range(epochs):
+        resumes = cell.family == "layers"
+        model = fit(
+            train,
+            cell.family,
+            cell.layers,
+            width=width,
+            iterations=iterations if resumes else iterations * (epoch + 1),
+            seed=seed,
+            previous=model if resumes else None,
+        )
+        for row in binary_metrics(predict(model, held), by=["split"]).collect():
+            yield (cell.family, cell.n, cell.layers, epoch, row["split"], *[row[m] for m in METRICS])
+
+
 def run_grid(
     labelled: DataFrame,
     cells: Iterable[Cell],
@@ -92,15 +113,17 @@ def run_grid(
     epochs: int = 1,
     iterations: int = 20,
     seed: int = 42,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Fit every cell and log its metrics on validation and test.
 
     ``labelled`` holds sequences of all lengths with their block. The driver
-    only submits fits and keeps two metric rows per fit; features are computed
-    once per length and stay on the executors. With several epochs a perceptron
-    goes on from its last weights; other families are fitted with a budget of
-    iterations that grows with the epoch.
+    only submits fits, ``parallelism`` at a time, and keeps two metric rows per
+    fit; features are computed once per length and stay on the executors. With
+    several epochs a perceptron goes on from its last weights; other families
+    are fitted with a budget of iterations that grows with the epoch.
     """
+    spark = labelled.sparkSession
     cells = list(cells)
     per_step = 3 if with_kc else 2
     records = []
@@ -114,33 +137,24 @@ def run_grid(
         train = inputs.where(F.col("split") == "train")
         if balance:
             train = downsample(train, "label", ["student_id", "chunk"], seed)
-        train = train.persist(StorageLevel.MEMORY_AND_DISK)
+        train = train.select("label", "vector").persist(StorageLevel.MEMORY_AND_DISK)
         held = inputs.where(F.col("split") != "train")
-        for order, cell in enumerate(cells):
-            if cell.n != n:
-                continue
-            model = None
-            for epoch in range(epochs):
-                more = cell.family != "layers"
-                model = fit(
-                    train,
-                    cell.family,
-                    cell.layers,
-                    width=n * per_step,
-                    iterations=iterations * (epoch + 1) if more else iterations,
-                    seed=seed,
-                    previous=model if not more else None,
-                )
-                scores = binary_metrics(predict(model, held), by=["split"]).collect()
-                records += [
-                    (cell.family, cell.n, cell.layers, epoch, row["split"])
-                    + tuple(row[m] for m in METRICS)
-                    + (order,)
-                    for row in scores
-                ]
+        train.count()
+
+        @inheritable_thread_target(spark)
+        def run(place: int) -> list[tuple]:
+            found = _fit_epochs(
+                train, held, cells[place], n * per_step, epochs, iterations, seed
+            )
+            return [(*row, place) for row in found]
+
+        places = [i for i, cell in enumerate(cells) if cell.n == n]
+        with ThreadPool(min(parallelism, len(places))) as pool:
+            for rows in pool.map(run, places):
+                records += rows
         train.unpersist()
         inputs.unpersist()
-    return labelled.sparkSession.createDataFrame(records, RUN_LOG)
+    return spark.createDataFrame(records, RUN_LOG)
 
 
 def fit_and_predict(

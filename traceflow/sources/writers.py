@@ -21,10 +21,15 @@ def write_sequences(
     fmt: str = "parquet",
     mode: str = "errorifexists",
 ) -> None:
-    """All splits of all folds and lengths in one job, one directory each."""
-    expand_folds(labelled, folds).drop("block").write.mode(mode).partitionBy(
-        "n", "split", "fold"
-    ).format(fmt).save(path)
+    """All splits of all folds and lengths in one job, one directory each.
+
+    Rows are rebalanced by directory first, so that a directory gets few files
+    of a good size however many tasks there are; large ones are split.
+    """
+    directories = ["n", "split", "fold"]
+    expand_folds(labelled, folds).drop("block").hint("rebalance", *directories).write.mode(
+        mode
+    ).partitionBy(*directories).format(fmt).save(path)
 
 
 def write_metrics(log: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -36,7 +41,7 @@ def write_metrics(log: DataFrame, path: str, mode: str = "errorifexists") -> Non
 
 
 def training_text(sequences: DataFrame) -> DataFrame:
-    """One text record per sequence with the end mark, in key order of its own."""
+    """Add ``value``: the training line followed by the end mark on its own line."""
     return training_lines(sequences).withColumn(
         "value", F.concat("line", F.lit(f"\n{END_OF_TEXT}"))
     )
