@@ -161,3 +161,13 @@ def test_step_lookups(spark, make_attempts, questions):
     with pytest.raises(Exception, match="without a topic"):
         with_kc(found, topics.where("question_id != 3")).collect()
     assert with_kc(found, topics.where("question_id != 3"), unknown="drop").count() == 0
+
+
+def test_first_row_of_a_question_wins(spark, make_attempts):
+    rows = [(i, 1 if i != 2 else 3, "t", 10 + i) for i in range(1, 7)] + [(2, 2, "t", 5)]
+    table = spark.createDataFrame(
+        rows, "id long, difficulty int, question_rich_text string, row long"
+    )
+    attempts = make_attempts({1: [1, 0, 1, 1, 1, 1]})
+    found = history.with_difficulty(attempts, table, ("row",)).where("question_id = 2")
+    assert found.first()["difficulty"] == 2

@@ -88,6 +88,15 @@ def test_sequence_file(spark, tmp_path):
     ]
 
 
+def test_sequence_folder(spark, tmp_path):
+    record = '[{"student_id": %d, "question_ids": [], "answers": [], "difficulties": [], "hint_used": []}]'
+    (tmp_path / "train_fold_2_n_10.json").write_text(record % 1)
+    (tmp_path / "test_n_10.json").write_text(record % 2)
+    folder = str(tmp_path)
+    assert readers.read_sequence_folder(spark, folder, 10, "train", 2).first()["student_id"] == 1
+    assert readers.read_sequence_folder(spark, folder, 10, "test").first()["student_id"] == 2
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "json"])
 def test_sequences_round_trip(spark, tmp_path, labelled, fmt):
     path = str(tmp_path / "out")

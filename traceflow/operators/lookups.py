@@ -17,8 +17,9 @@ def kc_link(question_kc: DataFrame, kcs: DataFrame, **join_options) -> DataFrame
     is an error.
     """
     topics = kcs.groupBy(F.col("id").alias("kc_id")).agg(
-        F.count(F.lit(1)).alias("_n"), F.first("name").alias("name"),
-        F.first("description").alias("description"),
+        F.count(F.lit(1)).alias("_n"),
+        F.min("name").alias("name"),
+        F.min("description").alias("description"),
     )
     message = F.concat(F.lit("duplicate topic id "), F.col("kc_id").cast("string"))
     topics = topics.select(
@@ -50,6 +51,11 @@ def one_kc(
     return question_kc.groupBy("question_id").agg(pick(kc, place).cast("long").alias("kc_id"))
 
 
+def _keys(sequences: DataFrame) -> list[str]:
+    """The columns that identify a sequence, and its block if it has one."""
+    return [c for c in ("student_id", "n", "chunk", "block") if c in sequences.columns]
+
+
 def explode_steps(sequences: DataFrame) -> DataFrame:
     """One row per step with its position; sequence columns are repeated."""
     lists = ["question_ids", "answers", "difficulties", "hint_used"]
@@ -68,7 +74,7 @@ def with_kc(
     sequences: DataFrame, question_kc_one: DataFrame, unknown: str = "error", **join_options
 ) -> DataFrame:
     """Add ``kc_ids``, the topic of every step."""
-    keys = [c for c in ("student_id", "n", "chunk", "block") if c in sequences.columns]
+    keys = _keys(sequences)
     steps = lookup_join(
         explode_steps(sequences),
         question_kc_one.select("question_id", "kc_id"),
@@ -126,7 +132,7 @@ def enrich_steps(
         "difficulty",
         strip("_kc").alias("kc"),
     )
-    keys = [c for c in ("student_id", "n", "chunk", "block") if c in sequences.columns]
+    keys = _keys(sequences)
     steps = lookup_join(
         explode_steps(sequences).drop("difficulty"),
         table,

@@ -82,6 +82,19 @@ def history_positions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def history_positions_large(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with all but the shortest histories on the path for hot students."""
+    found = history.history_positions(tt.attempts(spark, sf), hot_rows=60)
+    return found.select("student_id", "seq", "pos", "history_len")
+
+
+def sequences_large(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled sequences with long histories on the path for hot students."""
+    log = tt.attempts(spark, sf)
+    split = splits.student_split(log)
+    return flat(history.sequences(log, tt.questions(spark, sf), (5, 10, 20), split, hot_rows=60))
+
+
 def student_split(spark: SparkSession, sf: str) -> DataFrame:
     return splits.student_split(tt.attempts(spark, sf))
 
@@ -165,6 +178,13 @@ def position_slice(spark: SparkSession, sf: str) -> DataFrame:
     ).drop("conf")
 
 
+def position_slice_ranged(spark: SparkSession, sf: str) -> DataFrame:
+    """Every position of the training log, from a range sort instead of a top-k."""
+    log = tt.attempts(spark, sf).select("student_id", "seq", "start_time")
+    placed = slices.position_slice(log, ["start_time", "seq"], 0, 2**62, top_rows=0)
+    return placed.select("seq", "pos")
+
+
 def features_json(spark: SparkSession, sf: str) -> DataFrame:
     inputs = model_inputs(_sequences(spark, sf, 5), 5)
     return json_records(inputs.select("student_id", "chunk", "features", "label"))
@@ -206,6 +226,11 @@ def kc_link(spark: SparkSession, sf: str) -> DataFrame:
     return lookups.kc_link(tt.question_kc(spark, sf), tt.kcs(spark, sf))
 
 
+def kc_link_salted(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a shuffle join with every frequent topic salted."""
+    return lookups.kc_link(tt.question_kc(spark, sf), tt.kcs(spark, sf), max_rows=0, hot_rows=500)
+
+
 def kc_rule(rule: str) -> Query:
     return lambda spark, sf: lookups.one_kc(tt.question_kc(spark, sf), rule, tt.KC_ORDER)
 
@@ -429,11 +454,32 @@ def batch_scored_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.word_metrics(_scored(spark, sf))
 
 
+def batch_scored_exact(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.exact_match(_scored(spark, sf))
+
+
 def model_predictions(spark: SparkSession, sf: str) -> DataFrame:
     scored = models.fit_and_predict(_sequences(spark, sf, 5, labelled=True), 5)
     return scored.select("student_id", "chunk", "label", "pred", "conf")
 
 
+def prediction_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Eleven hold-out predictions with their confidence and a verdict."""
+    scored = model_predictions(spark, sf)
+    report = slices.position_slice(scored, SEQUENCE_KEY, 55, 66)
+    return report.withColumn("percent", F.col("conf") * 100).withColumn(
+        "verdict", verdict("label", "pred", "conf")
+    )
+
+
+def balanced_kc_run(spark: SparkSession, sf: str) -> DataFrame:
+    """One perceptron on balanced training data with topics as a feature."""
+    topics = lookups.one_kc(tt.question_kc(spark, sf), "last", tt.KC_ORDER)
+    labelled = lookups.with_kc(_sequences(spark, sf, 5, labelled=True), topics)
+    cells = models.grid((5,), (5,), ("layers",))
+    return models.run_grid(labelled, cells, with_kc=True, balance=True)
+
+
 def grid_best(spark: SparkSession, sf: str) -> DataFrame:
     labelled = _sequences(spark, sf, 5, 10, 20, labelled=True)
     log = models.run_grid(labelled, models.grid(), iterations=3)
@@ -446,6 +492,8 @@ def queries() -> dict[str, Query]:
         "sequences_n10": sequences_of(10),
         "sequences_n20": sequences_of(20),
         "history_positions": history_positions,
+        "history_positions_large": history_positions_large,
+        "sequences_large": sequences_large,
         "student_split": student_split,
         "sequences_by_split": sequences_by_split,
         "fold_members": fold_members,
@@ -461,11 +509,13 @@ def queries() -> dict[str, Query]:
         "leading_slice": leading_slice,
         "leading_slice_compat": leading_slice_compat,
         "position_slice": position_slice,
+        "position_slice_ranged": position_slice_ranged,
         "features_json": features_json,
         "tolerant_int": tolerant_integers,
         "unpadded": unpadded,
         "truncated": truncated,
         "kc_link": kc_link,
+        "kc_link_salted": kc_link_salted,
         "kc_first": kc_rule("first"),
         "kc_last": kc_rule("last"),
         "sequence_enriched": sequence_enriched,
@@ -495,6 +545,9 @@ def queries() -> dict[str, Query]:
         "prompts_in_budget": prompts_in_budget,
         "batch_scored": batch_scored,
         "batch_scored_metrics": batch_scored_metrics,
+        "batch_scored_exact": batch_scored_exact,
         "model_predictions": model_predictions,
+        "prediction_report": prediction_report,
+        "balanced_kc_run": balanced_kc_run,
         "grid_best": grid_best,
     }

@@ -87,6 +87,10 @@ LAST_KC = """kc_last AS (
            last(l_suppkey ORDER BY l_orderkey, l_linenumber, l_suppkey) AS kc_id
     FROM lineitem GROUP BY l_partkey)"""
 
+KC_LINK = """SELECT l_partkey AS question_id, l_suppkey AS kc_id, s_name AS name,
+       'Topic ' || s_name AS description, l_orderkey, l_linenumber, l_suppkey
+FROM lineitem JOIN supplier ON s_suppkey = l_suppkey"""
+
 STEPS = """steps AS (
     SELECT student_id, n, chunk, unnest(question_ids) AS question_id, unnest(answers) AS answer,
            unnest(difficulties) AS difficulty, generate_subscripts(answers, 1) AS i
@@ -162,6 +166,11 @@ CROSS JOIN (SELECT count(*) FILTER (pred IS NULL OR pred NOT IN ('CORRECT', 'WRO
                    AS n_malformed FROM {source})"""
 
 
+EXACT = """SELECT count(*) FILTER (pred IS NOT DISTINCT FROM gt) AS correct, count(*) AS total,
+       count(*) FILTER (pred IS NOT DISTINCT FROM gt) / count(*)::DOUBLE * 100 AS percentage
+FROM {source}"""
+
+
 def _auc(source: str, by: str = "") -> str:
     lead, part, group = (f"{by}, ", f"PARTITION BY {by}", f"GROUP BY {by}") if by else ("", "", "")
     return f"""SELECT {lead}sum(ones * (before + zeros / 2.0::DOUBLE))
@@ -238,11 +247,13 @@ def _sequence_oracles() -> dict[str, str]:
     out["history_positions"] = (
         _with(ATTEMPTS, POSITIONS) + "SELECT student_id, seq, pos, history_len FROM positions"
     )
+    out["history_positions_large"] = out["history_positions"]
     out["student_split"] = _with(ATTEMPTS, SPLIT) + "SELECT student_id, pos, block FROM split"
     out["sequences_by_split"] = (
         _base(5, 10, 20, labelled=True)
         + f"SELECT student_id, CAST(n AS INTEGER) AS n, chunk, {JOINED}, block FROM labelled"
     )
+    out["sequences_large"] = out["sequences_by_split"]
     out["fold_members"] = (
         _base(5, 10, 20, labelled=True)
         + """SELECT CAST(n AS INTEGER) AS n,
@@ -352,6 +363,7 @@ WHERE tokens <= 330""",
         "batch_scored": _prompt(SHORT)
         + "SELECT student_id, chunk, gt, previous AS pred FROM chat",
         "batch_scored_metrics": scored + _word_metrics("answered"),
+        "batch_scored_exact": scored + EXACT.format(source="answered"),
     }
 
 
@@ -392,6 +404,8 @@ def _table_oracles() -> dict[str, str]:
        {VERDICT} AS verdict, round(conf * 100, 6) AS percent
 FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_suppkey) - 1 AS pos
       FROM ({prediction})) WHERE pos BETWEEN 55 AND 65""",
+        "position_slice_ranged": """SELECT event_id AS seq,
+       row_number() OVER (ORDER BY ts, event_id) - 1 AS pos FROM events""",
         "tolerant_int": f"""SELECT event_id,
        array_to_string(list_transform(regexp_split_to_array(props, '[:}}]'),
                        lambda x: {parsed('x')}), ',') AS parsed,
@@ -400,9 +414,8 @@ FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_suppkey)
        CAST(-1 AS BIGINT) AS from_word FROM events""",
         "unpadded": """SELECT event_id, json_extract_string(props, '$.k') || ',1' AS answers
 FROM events WHERE event_type <> 'error'""",
-        "kc_link": """SELECT l_partkey AS question_id, l_suppkey AS kc_id, s_name AS name,
-       'Topic ' || s_name AS description, l_orderkey, l_linenumber, l_suppkey
-FROM lineitem JOIN supplier ON s_suppkey = l_suppkey""",
+        "kc_link": KC_LINK,
+        "kc_link_salted": KC_LINK,
         "kc_first": _with(FIRST_KC) + "SELECT question_id, kc_id FROM kc_first",
         "kc_last": _with(LAST_KC) + "SELECT question_id, kc_id FROM kc_last",
         "downsampled": """SELECT doc_id, quality, toxic FROM labels WHERE quality IN (0, 1)
@@ -416,10 +429,7 @@ QUALIFY quality = 0 OR row_number() OVER (PARTITION BY quality ORDER BY md5('42:
             "l_extendedprice AS conf FROM lineitem",
             "l_returnflag",
         ),
-        "exact_match": f"""SELECT count(*) FILTER (pred IS NOT DISTINCT FROM gt) AS correct,
-       count(*) AS total,
-       count(*) FILTER (pred IS NOT DISTINCT FROM gt) / count(*)::DOUBLE * 100 AS percentage
-FROM ({words})""",
+        "exact_match": EXACT.format(source=f"({words})"),
         "word_metrics": _with(word_pairs) + _word_metrics("answered"),
         "verdicts": f"""SELECT l_orderkey, l_linenumber, l_suppkey, label, pred, {VERDICT} AS verdict
 FROM ({prediction})""",

@@ -83,6 +83,19 @@ def read_sequence_file(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def sequence_file_name(n: int, split: str, fold: int | None = None) -> str:
+    """Name of the file of one length and split; hold-out files have no fold."""
+    part = split if split == "test" else f"{split}_fold_{fold}"
+    return f"{part}_n_{n}.json"
+
+
+def read_sequence_folder(
+    spark: SparkSession, folder: str, n: int, split: str, fold: int | None = None
+) -> DataFrame:
+    """The sequences of one split from a folder of single files."""
+    return read_sequence_file(spark, f"{folder}/{sequence_file_name(n, split, fold)}")
+
+
 def read_sequences(
     spark: SparkSession,
     path: str,
