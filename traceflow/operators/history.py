@@ -9,6 +9,7 @@ from traceflow.operators.joins import HOT_ROWS, hot_keys, lookup_join
 from traceflow.operators.ranking import group_positions
 
 _ROW_KEY = ("student_id", "seq")
+_VALUES = ("question_id", "answer", "difficulty", "hint")
 
 
 def time_order() -> list[Column]:
@@ -66,21 +67,17 @@ def with_difficulty(
     attempts: DataFrame, questions: DataFrame, order: Sequence[str] = (), **join_options
 ) -> DataFrame:
     """Add ``difficulty``, and ``known``: whether the question exists at all."""
-    columns = list(dict.fromkeys(["id", "difficulty", *order]))
+    source = questions.select(*dict.fromkeys(["id", "difficulty", *order]))
     table = (
-        first_per_key(questions.select(*columns), "id", order)
+        first_per_key(source, "id", order)
         .withColumnRenamed("id", "question_id")
         .select("question_id", "difficulty", F.lit(True).alias("known"))
     )
     return lookup_join(
-        attempts, table, "question_id", "left", row_key=_ROW_KEY, **join_options
+        attempts, table, "question_id", "left", row_key=_ROW_KEY, bound=source, **join_options
     ).withColumn("known", F.coalesce("known", F.lit(False)))
 
 
-def _field(name: str) -> Column:
-    return F.transform("steps", lambda s: s[name])
-
-
 def _assemble(rows: DataFrame, lengths: Sequence[int], drop_full_tail: bool) -> DataFrame:
     """Cut positioned rows into chunks of each length and drop uniform chunks."""
     if len(lengths) == 1:
@@ -91,7 +88,8 @@ def _assemble(rows: DataFrame, lengths: Sequence[int], drop_full_tail: bool) ->
     end = (F.col("chunk") + 1) * F.col("n")
     # A chunk that ends exactly at the end of the history is left out as well.
     complete = end < F.col("history_len") if drop_full_tail else end <= F.col("history_len")
-    step = F.struct("pos", "question_id", "answer", "difficulty", "hint", "known")
+    step = F.struct("pos", "question_id", "answer", "difficulty", "hint")
+    missing = F.greatest(*[F.col(name).isNull() for name in _VALUES])
     return (
         cut.withColumn("chunk", chunk)
         .where(complete)
@@ -100,47 +98,47 @@ def _assemble(rows: DataFrame, lengths: Sequence[int], drop_full_tail: bool) ->
             F.sort_array(F.collect_list(step)).alias("steps"),
             F.count_if(F.col("answer") == 0).alias("_wrong"),
             F.count_if(F.col("answer") == 1).alias("_right"),
+            F.bool_and("known").alias("known"),
+            F.bool_or(missing).alias("missing"),
         )
         .where((F.col("_wrong") != F.col("n")) & (F.col("_right") != F.col("n")))
-        .select("student_id", "n", "chunk", "steps")
+        .select("student_id", "n", "chunk", "steps", "known", "missing")
     )
 
 
 def _finish(chunks: DataFrame, unknown: str, dedup: bool) -> DataFrame:
-    all_known = F.forall("steps", lambda s: s["known"])
+    difficulties = F.col("steps.difficulty")
     if unknown == "error":
         message = F.concat(
             F.lit("unknown question in the history of student "), F.col("student_id").cast("string")
         )
-        difficulties = F.when(all_known, _field("difficulty")).otherwise(F.raise_error(message))
+        difficulties = F.when(F.col("known"), difficulties).otherwise(F.raise_error(message))
     elif unknown == "drop":
-        chunks = chunks.where(all_known)
-        difficulties = _field("difficulty")
+        chunks = chunks.where("known")
     else:
         raise ValueError("unknown must be 'error' or 'drop'")
-    sequences = chunks.select(
+    found = chunks.select(
         "student_id",
         "n",
         "chunk",
-        _field("question_id").alias("question_ids"),
-        _field("answer").alias("answers"),
+        F.col("steps.question_id").alias("question_ids"),
+        F.col("steps.answer").alias("answers"),
         difficulties.alias("difficulties"),
-        _field("hint").alias("hint_used"),
+        F.col("steps.hint").alias("hint_used"),
+        "missing",
     )
-    return drop_duplicate_sequences(sequences) if dedup else sequences
+    return drop_duplicate_sequences(found) if dedup else found.drop("missing")
 
 
-def drop_duplicate_sequences(sequences: DataFrame) -> DataFrame:
+def drop_duplicate_sequences(found: DataFrame) -> DataFrame:
     """Keep the first of equal sequences of one student and length.
 
-    A missing value is unequal to everything, so sequences with one all stay.
+    A missing value is unequal to everything, so sequences that have one, as
+    column ``missing`` tells, all stay.
     """
     lists = ["question_ids", "answers", "difficulties", "hint_used"]
-    missing = F.lit(False)
-    for name in lists:
-        missing = missing | F.exists(name, lambda v: v.isNull())
     return (
-        sequences.withColumn("_own", F.when(missing, F.col("chunk")))
+        found.withColumn("_own", F.when(F.col("missing"), F.col("chunk")))
         .groupBy("student_id", "n", *lists, "_own")
         .agg(F.min("chunk").alias("chunk"))
         .select("student_id", "n", "chunk", *lists)

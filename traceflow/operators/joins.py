@@ -94,8 +94,12 @@ def lookup_join(
     max_rows: int = BROADCAST_ROWS,
     max_bytes: int = BROADCAST_BYTES,
     hot_rows: int = HOT_ROWS,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
-    """Join rows with a lookup table: broadcast if it is small, else salted."""
-    if fits_broadcast(lookup, max_rows, max_bytes):
+    """Join rows with a lookup table: broadcast if it is small, else salted.
+
+    ``bound`` is a table that is cheaper to measure and at least as large.
+    """
+    if fits_broadcast(lookup if bound is None else bound, max_rows, max_bytes):
         return rows.join(F.broadcast(lookup), on, how)
     return salted_join(rows, lookup, on, how, row_key, hot_rows)

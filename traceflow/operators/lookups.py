@@ -83,27 +83,25 @@ def with_kc(
         row_key=("student_id", "n", "chunk", "pos"),
         **join_options,
     )
-    missing = F.exists("_steps", lambda s: s["kc_id"].isNull())
+    step = F.struct("pos", "question_id", "answer", "difficulty", "hint", "kc_id")
     grouped = steps.groupBy(*keys).agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct("pos", "question_id", "answer", "difficulty", "hint", "kc_id")
-            )
-        ).alias("_steps")
+        F.sort_array(F.collect_list(step)).alias("_steps"),
+        F.bool_or(F.col("kc_id").isNull()).alias("_missing"),
     )
-    kc_ids = F.transform("_steps", lambda s: s["kc_id"])
+    kc_ids = F.col("_steps.kc_id")
     if unknown == "error":
-        kc_ids = F.when(missing, F.raise_error(F.lit("question without a topic"))).otherwise(kc_ids)
+        message = F.raise_error(F.lit("question without a topic"))
+        kc_ids = F.when(F.col("_missing"), message).otherwise(kc_ids)
     elif unknown == "drop":
-        grouped = grouped.where(~missing)
+        grouped = grouped.where(~F.col("_missing"))
     else:
         raise ValueError("unknown must be 'error' or 'drop'")
     return grouped.select(
         *keys,
-        F.transform("_steps", lambda s: s["question_id"]).alias("question_ids"),
-        F.transform("_steps", lambda s: s["answer"]).alias("answers"),
-        F.transform("_steps", lambda s: s["difficulty"]).alias("difficulties"),
-        F.transform("_steps", lambda s: s["hint"]).alias("hint_used"),
+        F.col("_steps.question_id").alias("question_ids"),
+        F.col("_steps.answer").alias("answers"),
+        F.col("_steps.difficulty").alias("difficulties"),
+        F.col("_steps.hint").alias("hint_used"),
         kc_ids.alias("kc_ids"),
     )
 
@@ -121,8 +119,8 @@ def enrich_steps(
     alike, so the lists stay aligned. A known question without a topic is an
     error. Text and topic are stripped of surrounding white space.
     """
-    columns = list(dict.fromkeys(["id", "question_rich_text", "difficulty", *order]))
-    texts = first_per_key(questions.select(*columns), "id", order).select(
+    source = questions.select(*dict.fromkeys(["id", "question_rich_text", "difficulty", *order]))
+    texts = first_per_key(source, "id", order).select(
         F.col("id").alias("question_id"), "question_rich_text", "difficulty"
     )
     topics = question_kc_one.select("question_id", F.col("kc_id").cast("string").alias("_kc"))
@@ -139,6 +137,8 @@ def enrich_steps(
         "question_id",
         "inner",
         row_key=("student_id", "n", "chunk", "pos"),
+        # One row per question, and a topic is no longer than a number.
+        bound=source.withColumn("kc", F.lit(" " * 20)),
         **join_options,
     )
     topic = F.coalesce(F.col("kc"), F.raise_error(F.lit("question without a topic")))
@@ -148,9 +148,9 @@ def enrich_steps(
     grouped = steps.groupBy(*keys).agg(F.sort_array(F.collect_list(step)).alias("_steps"))
     return grouped.select(
         *keys,
-        F.transform("_steps", lambda s: s["question_id"]).alias("question_ids"),
-        F.transform("_steps", lambda s: s["question"]).alias("questions"),
-        F.transform("_steps", lambda s: s["kc"]).alias("kcs"),
-        F.transform("_steps", lambda s: s["difficulty"]).alias("difficulties"),
-        F.transform("_steps", lambda s: s["answer"]).alias("answers"),
+        F.col("_steps.question_id").alias("question_ids"),
+        F.col("_steps.question").alias("questions"),
+        F.col("_steps.kc").alias("kcs"),
+        F.col("_steps.difficulty").alias("difficulties"),
+        F.col("_steps.answer").alias("answers"),
     )

@@ -168,5 +168,7 @@ def fit_and_predict(
     """Fit on the training students of a fold and score the hold-out sequences."""
     inputs = model_inputs(labelled.where(F.col("n") == n), n)
     train = inputs.where(split_name(fold) == "train").select("vector", "label")
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
     model = fit(train, family, layers, width=2 * n, iterations=iterations)
+    train.unpersist()
     return predict(model, inputs.where(in_test()).select("student_id", "chunk", "label", "vector"))

@@ -56,5 +56,5 @@ def pack_blocks(
         .where(F.col("_slice.block") < block_of(F.col("_stream")))
         .groupBy(F.col("_slice.block").alias("block"))
         .agg(F.sort_array(F.collect_list(F.struct("_slice.begin", "_slice.tokens"))).alias("_all"))
-        .select("block", F.flatten(F.transform("_all", lambda s: s["tokens"])).alias("tokens"))
+        .select("block", F.flatten("_all.tokens").alias("tokens"))
     )

@@ -46,7 +46,7 @@ SEQUENCE_KEY = ["student_id", "chunk"]
 
 
 def joined(name: str, separator: str = ",") -> Column:
-    return F.array_join(F.transform(name, lambda v: v.cast("string")), separator).alias(name)
+    return F.array_join(F.col(name).cast("array<string>"), separator).alias(name)
 
 
 def flat(rows: DataFrame) -> DataFrame:
@@ -66,10 +66,8 @@ def _sequences(spark: SparkSession, sf: str, *lengths: int, labelled: bool = Fal
 
 def _matrix(name: str) -> Column:
     """A matrix of whole numbers as text: steps by ``;`` and values by ``,``."""
-    row = F.transform(
-        name, lambda r: F.array_join(F.transform(r, lambda v: v.cast("long").cast("string")), ",")
-    )
-    return F.array_join(row, ";").alias(name)
+    rows = F.col(name).cast("array<array<bigint>>").cast("array<array<string>>")
+    return F.array_join(F.transform(rows, lambda r: F.array_join(r, ",")), ";").alias(name)
 
 
 def sequences_of(n: int) -> Query:
@@ -154,7 +152,7 @@ def flags(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stripped_text(spark: SparkSession, sf: str) -> DataFrame:
-    return tt.table(spark, sf, "documents").select("doc_id", strip("text").alias("text"))
+    return tt.texts(spark, sf).select("doc_id", strip("text").alias("text"))
 
 
 def leading_slice(spark: SparkSession, sf: str) -> DataFrame:
@@ -202,7 +200,7 @@ def tolerant_integers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def joined_expression(values: Column) -> Column:
-    return F.array_join(F.transform(values, lambda v: v.cast("string")), ",")
+    return F.array_join(values.cast("array<string>"), ",")
 
 
 def unpadded(spark: SparkSession, sf: str) -> DataFrame:
@@ -380,11 +378,11 @@ def best_config_at_val(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vocab(spark: SparkSession, sf: str) -> DataFrame:
-    return vocabulary.vocabulary(tt.table(spark, sf, "documents"))
+    return vocabulary.vocabulary(tt.texts(spark, sf))
 
 
 def word_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return vocabulary.word_counts(tt.table(spark, sf, "documents"))
+    return vocabulary.word_counts(tt.texts(spark, sf))
 
 
 def mean_pool(spark: SparkSession, sf: str) -> DataFrame:
@@ -394,7 +392,7 @@ def mean_pool(spark: SparkSession, sf: str) -> DataFrame:
         mixed = F.ascii(word) * 7 + F.ascii(F.substring(word, -1, 1)) * 31 + F.length(word) * 101
         return F.pmod(mixed, F.lit(500)).cast("long")
 
-    pooled = vocabulary.mean_vectors(tt.table(spark, sf, "documents"), vectors, word_key)
+    pooled = vocabulary.mean_vectors(tt.texts(spark, sf), vectors, word_key)
     shown = F.transform("embedding", lambda v: F.round(v * 1e6).cast("long").cast("string"))
     return pooled.select("doc_id", F.array_join(shown, ",").alias("embedding"))
 
@@ -412,7 +410,7 @@ def shuffled_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def packed_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = packing.pack_blocks(tt.table(spark, sf, "documents"), ["doc_id"])
+    blocks = packing.pack_blocks(tt.texts(spark, sf), ["doc_id"])
     return blocks.select("block", F.array_join("tokens", " ").alias("tokens"))
 
 

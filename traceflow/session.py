@@ -1,4 +1,4 @@
-"""Session helpers: a local session for tests and benches, and checkpoints."""
+"""Session helpers: local sessions, checkpoints and spreading of small scans."""
 
 import tempfile
 
@@ -37,3 +37,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="traceflow-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores for heavy work on the rows of a scan with few splits.
+
+    A table in one small file is one task, whatever is done to its texts. A scan
+    that has enough splits, as any large table, is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, *keys)
