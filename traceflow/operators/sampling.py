@@ -19,7 +19,8 @@ def downsample(
 
     The kept rows are the first in seeded hash order; rows of other labels are
     dropped. Bucket counts tell in which hash bucket the quota ends, so only
-    that one bucket has to be ranked and no other row moves.
+    that one bucket has to be ranked and no other row moves. The input is read
+    three times, so persist it if it is costly to compute.
     """
     columns = rows.columns
     hashed = (
