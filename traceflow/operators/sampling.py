@@ -22,34 +22,35 @@ def downsample(
     that one bucket has to be ranked and no other row moves. The input is read
     three times, so persist it if it is costly to compute.
     """
-    columns = rows.columns
+    y, bucket = F.col(label), F.col("_bucket")
     hashed = (
-        rows.where(F.col(label).isin(0, 1))
+        rows.where(y.isin(0, 1))
         .withColumn("_hash", hash_order(seed, *keys))
         .withColumn("_bucket", F.substring("_hash", 1, digits))
     )
-    # At most 16 ** digits rows.
-    counts = hashed.groupBy("_bucket").agg(
-        F.count_if(F.col(label) == 0).alias("_zeros"), F.count_if(F.col(label) == 1).alias("_ones")
-    )
+    # At most 16 ** digits rows, of which one comes to the driver.
     everything = Window.orderBy("_bucket")
     earlier = everything.rowsBetween(Window.unboundedPreceding, -1)
     both = everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    quota = counts.select(
-        "_bucket",
-        (
-            F.sum("_zeros").over(both) - F.coalesce(F.sum("_ones").over(earlier), F.lit(0))
-        ).alias("_room"),
-        "_ones",
-    )
-    placed = hashed.join(F.broadcast(quota), "_bucket")
-    whole = placed.where((F.col(label) == 0) | (F.col("_ones") <= F.col("_room")))
-    edge = placed.where(
-        (F.col(label) == 1) & (F.col("_room") > 0) & (F.col("_ones") > F.col("_room"))
+    taken = F.coalesce(F.sum("_ones").over(earlier), F.lit(0))
+    edge = (
+        hashed.groupBy("_bucket")
+        .agg(F.count_if(y == 0).alias("_zeros"), F.count_if(y == 1).alias("_ones"))
+        .select("_bucket", "_ones", (F.sum("_zeros").over(both) - taken).alias("_room"))
+        .where(F.col("_ones") > F.col("_room"))
+        .orderBy("_bucket")
+        .first()
     )
+    if edge is None:
+        return rows.where(y.isin(0, 1))
+    whole = hashed.where((y == 0) | (bucket < edge["_bucket"]))
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", *keys))
-    edge = edge.withColumn("_rank", rank).where(F.col("_rank") <= F.col("_room"))
-    return whole.select(*columns).unionByName(edge.select(*columns))
+    last = (
+        hashed.where((y == 1) & (bucket == edge["_bucket"]))
+        .withColumn("_rank", rank)
+        .where(F.col("_rank") <= edge["_room"])
+    )
+    return whole.select(*rows.columns).unionByName(last.select(*rows.columns))
 
 
 def shuffled(rows: DataFrame, keys: Sequence[str], seed: int = 1) -> DataFrame:
