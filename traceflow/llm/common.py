@@ -26,6 +26,11 @@ def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """The name of a new folder that all executors share."""
+    return f"{shared_folder(spark)}/traceflow-{uuid.uuid4().hex}"
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the files.
 
@@ -33,7 +38,7 @@ def store(df: DataFrame) -> DataFrame:
     before them. Every call takes a folder of its own.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/traceflow-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     with _setting(spark, _CLEANUP, "true"):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
