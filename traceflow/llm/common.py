@@ -44,6 +44,23 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store_bucketed(df: DataFrame, key: str, files: int) -> DataFrame:
+    """Like ``store``, as a table of ``files`` buckets by ``key``.
+
+    Joins on the key with small tables then move the other side only.
+    """
+    spark = df.sparkSession
+    name = f"traceflow_{uuid.uuid4().hex}"
+    with _setting(spark, _CLEANUP, "true"):
+        (
+            df.write.option("compression", "zstd")
+            .option("path", new_folder(spark))
+            .bucketBy(files, key)
+            .saveAsTable(name)
+        )
+    return spark.table(name)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

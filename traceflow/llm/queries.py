@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceflow.llm import chat, contamination, langid, licenses, mixing, passages, simhash, vectors, warc
+from traceflow.llm import chat, contamination, langid, licenses, mixing, passages, simhash, suffixes, vectors, warc
 from traceflow.llm.common import new_folder, store
 from traceflow.sources.testtables import table
 
@@ -86,6 +86,16 @@ def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op7_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixes.remove_repeated(table(spark, sf, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     found = licenses.find_licenses(table(spark, sf, "documents"))
     names = F.array_sort(F.array_distinct(F.col("matches.license")))
@@ -115,6 +125,7 @@ def queries() -> dict[str, Query]:
             op4_substring_dedup,
             op5_chat,
             op6_mixing,
+            op7_suffix_dedup,
             op8_license_scan,
             op9_language_id,
             op10_simhash,
