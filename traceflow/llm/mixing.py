@@ -85,11 +85,13 @@ def plan_mix(
     any shuffle. A source is ranked in buckets of about ``bucket_rows`` rows,
     so one source may own any share of the corpus.
     """
-    order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
+    text_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), text_id))
+    order = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
     sizes = store(docs.select("doc_id", "source", word_count().alias("size"), order.alias("_order")))
     targets = source_targets(sizes, weights, budget, repeats)
     # Hash order cut into equal ranges: as many as the source needs.
-    share = F.col("_order").cast("double") / F.lit(float(2**64)) + 0.5
+    share = F.col("_order") / F.lit(float(2**60))
     buckets = F.ceil(F.col("source_rows") / bucket_rows)
     known = F.col("sizes.source").eqNullSafe(F.col("targets.source"))
     flows = (

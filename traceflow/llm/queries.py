@@ -133,5 +133,112 @@ def queries() -> dict[str, Query]:
     }
 
 
+SQL = {
+    "op1_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    AND list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT vec_id AS u, vec_id AS w FROM embeddings
+  UNION
+  SELECT r.u, l.v FROM reach r JOIN links l ON r.w = l.u
+), least AS (SELECT u, min(w) AS component_id FROM reach GROUP BY u)
+SELECT e.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN least c ON c.u = e.vec_id
+LEFT JOIN (SELECT u, count(*) AS n_links FROM links GROUP BY u) n ON n.u = e.vec_id
+""",
+    "op2_decontamination": r"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i : i + 12], ' ') AS win
+  FROM item_words, range(1, greatest(len(w) - 12, 1) + 1) t(i) WHERE len(w) > 0
+), doc_words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), hits AS (
+  SELECT d.doc_id, i.item_id, d.i AS pos, d.n
+  FROM (
+    SELECT doc_id, i, k.n, array_to_string(w[i : i + k.n - 1], ' ') AS win
+    FROM doc_words, (SELECT DISTINCT n FROM item_windows) k, range(1, len(w) - k.n + 2) t(i)
+  ) d JOIN item_windows i ON d.n = i.n AND d.win = i.win
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, range(pos, pos + n) t(p) GROUP BY doc_id
+), found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit,
+  coalesce(f.n_items, 0)::BIGINT AS n_items, sha256(coalesce(f.items, '')) AS items_sha256,
+  coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.w) AS contaminated
+FROM doc_words d LEFT JOIN covered c USING (doc_id) LEFT JOIN found f USING (doc_id)
+""",
+    "op3_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS last FROM p)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha1(payload) AS payload_digest,
+  CASE WHEN strlen(payload) >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN strlen(payload) >= 1000 AND page_id < last THEN last END AS refers_to
+FROM m
+""",
+    "op5_chat": """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), escaped AS (
+  SELECT *, list_reduce(['<|', '|>', '<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>'],
+    lambda t, c: replace(t, c, c[1] || chr(92) || c[2:]), replace(text, chr(92), chr(92) || chr(92))) AS t,
+    list_reduce(['<|', '|>', '<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>'],
+    lambda t, c: replace(t, c, c[1] || chr(92) || c[2:]), replace(role, chr(92), chr(92) || chr(92))) AS r
+  FROM turns
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(24 + length(r) + length(t))::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id
+""",
+    "op6_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 15) AS o
+  FROM documents
+), totals AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    [5, 2, 1][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+  FROM d GROUP BY source
+), levels AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER (
+      ORDER BY 2 * source_size / weight, encode(source) NULLS LAST
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY 2 * source_size / weight, encode(source) NULLS LAST
+      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM totals
+), targets AS (
+  SELECT source, source_size, least(coalesce(weight * (
+      SELECT max(level) FROM levels WHERE level * weight <= 2 * source_size), 2 * source_size), 2 * source_size)::DOUBLE AS target
+  FROM levels
+), queue AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS goal,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id, d.size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  (least(size, greatest(0, goal - start)) + least(size, greatest(0, goal - start - source_size)))::BIGINT AS taken
+FROM queue
+""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
