@@ -15,11 +15,13 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceflow.llm.common import utf8
+from traceflow.llm.common import store, utf8
 
 WINDOW = 13
 # UTF-8 bytes of items in one automaton; more are scanned by several, one after the other.
 SHARD_BYTES = 4_000_000
+# Automata that one stage runs one after the other.
+PASSES = 4
 
 _KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
 # A-Z in lower case, separators as spaces, bytes of words as they are.
@@ -167,12 +169,15 @@ def find_contamination(
         F.array().cast(_HITS).alias("spans"),
         F.array().cast("array<string>").alias("items"),
     )
-    for shard in shards[:-1]:
+    for k, shard in enumerate(shards[:-1], 1):
         number = shard._jbroadcast.id()
         rows = rows.mapInArrow(
             _scan_shard(shard, number, False, kind),
             f"doc_id {kind}, text binary, spans {_HITS}, items array<string>",
         )
+        # Each pass in a row has a Python worker of its own.
+        if k % PASSES == 0:
+            rows = store(rows)
     number = shards[-1]._jbroadcast.id()
     return rows.mapInArrow(_scan_shard(shards[-1], number, True, kind), f"doc_id {kind}, {_RESULT}")
 
