@@ -83,8 +83,8 @@ def test_sequence_file(spark, tmp_path):
         '"difficulties": [1], "hint_used": [0]}]'
     )
     assert rows_of(readers.read_sequence_file(spark, str(path))) == [
-        (1, [3, 4], [1, None], [2, 3], [0, 1]),
-        (2, [5], [0], [1], [0]),
+        (1, 2, 0, [3, 4], [1, None], [2, 3], [0, 1]),
+        (2, 1, 1, [5], [0], [1], [0]),
     ]
 
 

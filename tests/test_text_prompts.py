@@ -118,7 +118,7 @@ def test_flags_and_words(spark):
     assert [r[0] for r in df.select(parsing.flag("t")).collect()] == [1, 0, None, None]
     df = spark.createDataFrame([(1,), (0,), (None,)], "a int")
     assert [r[0] for r in df.select(parsing.answer_word("a")).collect()] == [
-        "CORRECT", "WRONG", "WRONG"
+        "CORRECT", "WRONG", None
     ]
     df = spark.createDataFrame([("CORRECT",), ("Correct.",), (None,)], "w string")
     assert [r[0] for r in df.select(parsing.word_flag("w")).collect()] == [1, 0, 0]

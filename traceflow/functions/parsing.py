@@ -1,6 +1,8 @@
 """Flags, tolerant integers and the word form of an answer."""
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The two answer words.
@@ -18,8 +20,15 @@ def _column(value: str | Column) -> Column:
 
 
 def flag(value: str | Column) -> Column:
-    """true -> 1, false -> 0, anything else -> NULL."""
-    return _column(value).try_cast("boolean").cast("int")
+    """True and false as words, booleans or the numbers 1 and 0; anything else -> NULL."""
+    value = _column(value)
+    text = F.lower(value.cast("string"))
+    number = (F.typeof(value) != "string") & text.isin("1", "1.0", "0", "0.0")
+    return (
+        F.when(text == "true", 1)
+        .when(text == "false", 0)
+        .when(number, text.startswith("1").cast("int"))
+    )
 
 
 def tolerant_int(value: str | Column) -> Column:
@@ -46,7 +55,21 @@ def last(values: str | Column) -> Column:
 
 
 def answer_word(answer: str | Column) -> Column:
-    return F.when(_column(answer) == 1, F.lit(CORRECT)).otherwise(F.lit(WRONG))
+    """The word of an answer; a missing answer has none."""
+    return F.when(_column(answer) == 1, F.lit(CORRECT)).when(_column(answer).isNotNull(), F.lit(WRONG))
+
+
+def without_missing(rows: DataFrame, lists: Sequence[str], missing: str = "error") -> DataFrame:
+    """Refuse or leave out rows with a missing value in one of ``lists``."""
+    holes = F.lit(False)
+    for name in lists:
+        holes = holes | F.exists(name, lambda v: v.isNull())
+    if missing == "drop":
+        return rows.where(~holes)
+    if missing != "error":
+        raise ValueError("missing must be 'error' or 'drop'")
+    message = F.raise_error(F.lit(f"missing value in {', '.join(lists)}"))
+    return rows.withColumn(lists[0], F.when(holes, message).otherwise(F.col(lists[0])))
 
 
 def word_flag(word: str | Column) -> Column:

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceflow.operators.joins import HOT_ROWS, hot_keys, lookup_join
+from traceflow.operators.joins import HOT_ROWS, hot_keys, lookup_join, small_side
 from traceflow.operators.ranking import group_positions
 
 _ROW_KEY = ("student_id", "seq")
@@ -24,7 +24,7 @@ def _positioned_parts(
     known = attempts.where(F.col("student_id").isNotNull())
     usual = known
     if hot is not None:
-        usual = known.join(F.broadcast(hot.select("student_id")), "student_id", "left_anti")
+        usual = known.join(small_side(hot.select("student_id")), "student_id", "left_anti")
     history = Window.partitionBy("student_id").orderBy(*time_order())
     whole = history.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     usual = usual.select(
@@ -34,7 +34,7 @@ def _positioned_parts(
     )
     if hot is None:
         return usual, None
-    large = known.join(F.broadcast(hot), "student_id").withColumnRenamed("key_rows", "history_len")
+    large = known.join(small_side(hot), "student_id").withColumnRenamed("key_rows", "history_len")
     return usual, group_positions(large, "student_id", time_order())
 
 
@@ -51,10 +51,19 @@ def history_positions(attempts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFram
 
 
 def first_per_key(table: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """The first row of every key; ``order`` stands for the row order of a file."""
+    """The first row of every key; ``order`` stands for the row order of a file.
+
+    Without an order there is no first row, so a key that occurs twice is an error.
+    """
     others = [c for c in table.columns if c != key]
-    if len(others) == 1:
-        return table.groupBy(key).agg(F.min(others[0]).alias(others[0]))
+    if not order:
+        single = table.groupBy(key).agg(
+            F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(c) for c in others]
+        )
+        message = F.concat(F.lit(f"{key} occurs twice and no order is given: "), F.col(key).cast("string"))
+        return single.select(
+            F.when(F.col("_n") == 1, F.col(key)).otherwise(F.raise_error(message)).alias(key), *others
+        )
     ranking = F.struct(*order, *[c for c in others if c not in order])
     return (
         table.groupBy(key)
@@ -154,11 +163,13 @@ def sequences(
     unknown: str = "error",
     dedup: bool = True,
     hot_rows: int = HOT_ROWS,
+    question_order: Sequence[str] = (),
 ) -> DataFrame:
     """Disjoint mixed-outcome sequences of each length, with difficulties.
 
     ``attempts`` has ``student_id, question_id, answer, hint, start_time, seq``
-    with flags as 0/1. All lengths come from one pass. With ``split`` (see
+    with flags as 0/1. A question that occurs twice counts with its first row in
+    ``question_order``. All lengths come from one pass. With ``split`` (see
     ``student_split``) each sequence also gets the block of its student.
 
     For usual students the window, the chunk aggregate, the removal of
@@ -166,7 +177,7 @@ def sequences(
     """
     rows = attempts.select("student_id", "question_id", "answer", "hint", "start_time", "seq")
     hot = hot_keys(rows, "student_id", hot_rows)
-    rows = with_difficulty(rows, questions, hot_rows=hot_rows)
+    rows = with_difficulty(rows, questions, question_order, hot_rows=hot_rows)
     usual, large = _positioned_parts(rows, hot)
     result = _finish(_assemble(usual, lengths, drop_full_tail), unknown, dedup)
     blocks = None if split is None else split.select("student_id", "block")
@@ -177,6 +188,6 @@ def sequences(
     extra = _finish(_assemble(large, lengths, drop_full_tail), unknown, dedup)
     if blocks is not None:
         # At most one row per hot student.
-        few = blocks.join(F.broadcast(hot.select("student_id")), "student_id", "left_semi")
-        extra = extra.join(F.broadcast(few), "student_id")
+        few = blocks.join(small_side(hot.select("student_id")), "student_id", "left_semi")
+        extra = extra.join(small_side(few), "student_id")
     return result.unionByName(extra)

@@ -6,15 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from traceflow.session import checkpoint
+
 # A lookup table is broadcast only when it is measured to be below both bounds.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
-# Fewer than this many keys can own more than 1 / MAX_HOT_KEYS of the rows
-# each, which bounds every list of hot keys.
-MAX_HOT_KEYS = 10_000
+# Rows of one key that one task is to handle; a key with more is hot.
 HOT_ROWS = 2_000_000
-SALTS = 64
 
 
 def row_bytes(df: DataFrame) -> Column:
@@ -40,22 +39,23 @@ def hot_keys(rows: DataFrame, key: str, min_rows: int = HOT_ROWS) -> DataFrame |
     """Keys that own too many rows for one task, with their row counts.
 
     Returns None when there are none. The counts are pre-aggregated on the map
-    side, and a key is hot only above 1 / MAX_HOT_KEYS of all rows, so fewer
-    than MAX_HOT_KEYS keys ever reach the driver.
+    side, and only the largest comes to the driver. There are at most ``rows / min_rows`` hot
+    keys; the list is written to the shared folder and stays distributed.
     """
     counts = (
         rows.where(F.col(key).isNotNull())
         .groupBy(key)
         .agg(F.count(F.lit(1)).alias("key_rows"))
     )
-    stats = counts.agg(F.sum("key_rows").alias("total"), F.max("key_rows").alias("top")).first()
-    if stats["top"] is None:
-        return None
-    threshold = max(min_rows, stats["total"] // MAX_HOT_KEYS)
-    if stats["top"] <= threshold:
+    top = counts.agg(F.max("key_rows")).first()[0]
+    if top is None or top <= min_rows:
         return None
-    found = counts.where(F.col("key_rows") > threshold).collect()
-    return rows.sparkSession.createDataFrame(found, counts.schema)
+    return checkpoint(counts.where(F.col("key_rows") > min_rows))
+
+
+def small_side(hot: DataFrame) -> DataFrame:
+    """A list of hot keys for a join, broadcast while it is small."""
+    return F.broadcast(hot) if fits_broadcast(hot) else hot
 
 
 def salted_join(
@@ -66,23 +66,20 @@ def salted_join(
     row_key: Sequence[str] = (),
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Shuffle join that spreads each hot key over SALTS tasks.
+    """Shuffle join that spreads each hot key over one task per ``hot_rows`` rows.
 
     ``row_key`` names columns that differ between the rows of one hot key.
     """
     hot = hot_keys(rows, on, hot_rows)
     if hot is None:
         return rows.join(lookup, on, how)
-    hot = F.broadcast(hot.select(on, F.lit(True).alias("_hot")))
-    salt = F.pmod(F.xxhash64(*(row_key or rows.columns)), F.lit(SALTS)).cast("int")
-    left = rows.join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    right = lookup.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return left.drop("_hot").join(right, [on, "_salt"], how).drop("_salt")
+    salts = F.ceil(F.col("key_rows") / F.lit(max(1, hot_rows))).cast("int")
+    hot = small_side(hot.select(on, salts.alias("_salts")))
+    salt = F.pmod(F.xxhash64(*(row_key or rows.columns)), F.col("_salts")).cast("int")
+    left = rows.join(hot, on, "left").withColumn("_salt", F.coalesce(salt, F.lit(0)))
+    copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
+    right = lookup.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
+    return left.drop("_salts").join(right, [on, "_salt"], how).drop("_salt")
 
 
 def lookup_join(

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from traceflow.functions.text import strip
 from traceflow.operators.history import first_per_key
-from traceflow.operators.joins import HOT_ROWS, hot_keys, lookup_join
+from traceflow.operators.joins import lookup_join
+from traceflow.schemas import SEQUENCE_KEY
 
 
 def kc_link(question_kc: DataFrame, kcs: DataFrame, **join_options) -> DataFrame:
@@ -52,8 +53,11 @@ def one_kc(
 
 
 def _keys(sequences: DataFrame) -> list[str]:
-    """The columns that identify a sequence, and its block if it has one."""
-    return [c for c in ("student_id", "n", "chunk", "block") if c in sequences.columns]
+    """The columns that identify a sequence, and its block or split if it has one."""
+    missing = [c for c in SEQUENCE_KEY if c not in sequences.columns]
+    if missing:
+        raise ValueError(f"sequences need the columns {', '.join(missing)}")
+    return [c for c in (*SEQUENCE_KEY, "block", "split", "fold") if c in sequences.columns]
 
 
 def explode_steps(sequences: DataFrame) -> DataFrame:
@@ -116,7 +120,8 @@ def enrich_steps(
     """Question text, topic and current difficulty for every step.
 
     Steps of questions missing from ``questions`` are left out of all lists
-    alike, so the lists stay aligned. A known question without a topic is an
+    alike, so the lists stay aligned; a sequence that knows none of its questions keeps
+    empty lists. A question that occurs twice counts with its first row in ``order``. A known question without a topic is an
     error. Text and topic are stripped of surrounding white space.
     """
     source = questions.select(*dict.fromkeys(["id", "question_rich_text", "difficulty", *order]))
@@ -129,21 +134,23 @@ def enrich_steps(
         strip("question_rich_text").alias("question"),
         "difficulty",
         strip("_kc").alias("kc"),
+        F.lit(True).alias("known"),
     )
     keys = _keys(sequences)
     steps = lookup_join(
         explode_steps(sequences).drop("difficulty"),
         table,
         "question_id",
-        "inner",
+        "left",
         row_key=("student_id", "n", "chunk", "pos"),
         # One row per question, and a topic is no longer than a number.
         bound=source.withColumn("kc", F.lit(" " * 20)),
         **join_options,
     )
     topic = F.coalesce(F.col("kc"), F.raise_error(F.lit("question without a topic")))
-    step = F.struct(
-        "pos", "question_id", "question", topic.alias("kc"), "difficulty", "answer"
+    step = F.when(
+        F.col("known"),
+        F.struct("pos", "question_id", "question", topic.alias("kc"), "difficulty", "answer"),
     )
     grouped = steps.groupBy(*keys).agg(F.sort_array(F.collect_list(step)).alias("_steps"))
     return grouped.select(

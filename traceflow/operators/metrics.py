@@ -12,8 +12,18 @@ LOG_EPSILON = 1e-15
 
 
 def pair_predictions(labels: DataFrame, predictions: DataFrame, key: str | list[str]) -> DataFrame:
-    """Labels with the predictions of the same key."""
-    return labels.join(predictions, key, "inner")
+    """All labels, with the predictions of the same key; see ``unpaired``."""
+    return labels.join(predictions, key, "left")
+
+
+def unpaired(
+    rows: DataFrame, label: str = "label", pred: str = "pred", by: Sequence[str] = ()
+) -> DataFrame:
+    """``n_unpaired`` and ``n_unlabelled`` per group: rows that no metric counts."""
+    return rows.groupBy(*by).agg(
+        F.count_if(F.col(label).isNotNull() & F.col(pred).isNull()).alias("n_unpaired"),
+        F.count_if(F.col(label).isNull()).alias("n_unlabelled"),
+    )
 
 
 def confusion(

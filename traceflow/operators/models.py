@@ -10,20 +10,27 @@ from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
+    NaiveBayes,
 )
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceflow.functions.features import model_inputs
 from traceflow.functions.parsing import threshold
-from traceflow.operators.metrics import binary_metrics
+from traceflow.operators.metrics import binary_metrics, mean_loss
 from traceflow.operators.sampling import downsample
 from traceflow.operators.selection import METRICS
-from traceflow.operators.splits import in_test, split_name
-from traceflow.schemas import RUN_LOG
+from traceflow.operators.splits import split_name
+from traceflow.schemas import GRID_LOG
+from traceflow.session import checkpoint
 
 FAMILIES = ("linear", "trees", "layers")
+# Fitted from counts alone, so its numbers can be had from any aggregate engine.
+COUNTS = "counts"
+# Values a step's difficulty and answer can take in the one-hot form.
+DIFFICULTIES = (1, 2, 3)
+ANSWERS = (0, 1)
 
 
 @dataclass(frozen=True)
@@ -64,6 +71,8 @@ def fit(
         estimator = LogisticRegression(maxIter=iterations, regParam=0.01 / layers, **columns)
     elif family == "trees":
         estimator = GBTClassifier(maxIter=iterations, maxDepth=layers, seed=seed, **columns)
+    elif family == COUNTS:
+        estimator = NaiveBayes(smoothing=1.0, modelType="multinomial", **columns)
     elif family == "layers":
         estimator = MultilayerPerceptronClassifier(
             layers=[width, *[hidden] * layers, 2], maxIter=iterations, seed=seed, **columns
@@ -75,6 +84,33 @@ def fit(
     return estimator.fit(train)
 
 
+def one_hot_steps() -> Column:
+    """Sequences as counts: per step but the last its difficulty and answer, then the last difficulty."""
+    told = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), F.size("answers") - 2),
+            lambda i: F.array(
+                *[
+                    ((F.get("difficulties", i) == d) & (F.get("answers", i) == a)).cast("double")
+                    for d in DIFFICULTIES
+                    for a in ANSWERS
+                ]
+            ),
+        )
+    )
+    asked = F.try_element_at("difficulties", F.lit(-1))
+    return F.concat(told, F.array(*[(asked == d).cast("double") for d in DIFFICULTIES]))
+
+
+def _split(rows: DataFrame, fold: int) -> DataFrame:
+    """Rows seen from one fold with their ``split``: from ``block``, or as written with a fold."""
+    if "block" in rows.columns:
+        return rows.withColumn("split", split_name(fold))
+    if "split" not in rows.columns:
+        raise ValueError("sequences need a column block or split")
+    return rows.where(F.col("fold").isin(fold, 0)) if "fold" in rows.columns else rows
+
+
 def predict(model: Model, inputs: DataFrame) -> DataFrame:
     """Add ``conf``, the probability of a correct answer, and ``pred``, 0 or 1."""
     scored = model.transform(inputs)
@@ -100,8 +136,11 @@ def _fit_epochs(
             seed=seed,
             previous=model if resumes else None,
         )
-        for row in binary_metrics(predict(model, held), by=["split"]).collect():
-            yield (cell.family, cell.n, cell.layers, epoch, row["split"], *[row[m] for m in METRICS])
+        scored = predict(model, held)
+        loss = mean_loss(scored, by=["split"]).select("split", F.col("log_loss").alias("loss"))
+        for row in binary_metrics(scored, by=["split"]).join(loss, "split").collect():
+            values = [row[m] for m in (*METRICS, "loss")]
+            yield (cell.family, cell.n, cell.layers, epoch, row["split"], *values)
 
 
 def run_grid(
@@ -129,8 +168,7 @@ def run_grid(
     records = []
     for n in dict.fromkeys(c.n for c in cells):
         inputs = (
-            model_inputs(labelled.where(F.col("n") == n), n, with_kc)
-            .withColumn("split", split_name(fold))
+            model_inputs(_split(labelled.where(F.col("n") == n), fold), n, with_kc)
             .select("student_id", "chunk", "split", "label", "vector")
             .persist(StorageLevel.MEMORY_AND_DISK)
         )
@@ -139,22 +177,24 @@ def run_grid(
             train = downsample(train, "label", ["student_id", "chunk"], seed)
         train = train.select("label", "vector").persist(StorageLevel.MEMORY_AND_DISK)
         held = inputs.where(F.col("split") != "train")
-        train.count()
 
         @inheritable_thread_target(spark)
         def run(place: int) -> list[tuple]:
             found = _fit_epochs(
                 train, held, cells[place], n * per_step, epochs, iterations, seed
             )
-            return [(*row, place) for row in found]
+            return [(*row, place, loss) for *row, loss in found]
 
         places = [i for i, cell in enumerate(cells) if cell.n == n]
-        with ThreadPool(min(parallelism, len(places))) as pool:
-            for rows in pool.map(run, places):
-                records += rows
-        train.unpersist()
-        inputs.unpersist()
-    return spark.createDataFrame(records, RUN_LOG)
+        try:
+            train.count()
+            with ThreadPool(min(parallelism, len(places))) as pool:
+                for rows in pool.map(run, places):
+                    records += rows
+        finally:
+            train.unpersist()
+            inputs.unpersist()
+    return spark.createDataFrame(records, GRID_LOG)
 
 
 def fit_and_predict(
@@ -164,11 +204,27 @@ def fit_and_predict(
     layers: int = 1,
     fold: int = 1,
     iterations: int = 20,
+    with_kc: bool = False,
+    balance: bool = False,
+    splits: Sequence[str] = ("test",),
+    seed: int = 42,
 ) -> DataFrame:
-    """Fit on the training students of a fold and score the hold-out sequences."""
-    inputs = model_inputs(labelled.where(F.col("n") == n), n)
-    train = inputs.where(split_name(fold) == "train").select("vector", "label")
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    model = fit(train, family, layers, width=2 * n, iterations=iterations)
-    train.unpersist()
-    return predict(model, inputs.where(in_test()).select("student_id", "chunk", "label", "vector"))
+    """Fit on the training students of a fold and score the sequences of ``splits``.
+
+    The family ``counts`` reads steps in their one-hot form and needs no topics.
+    """
+    inputs = model_inputs(_split(labelled.where(F.col("n") == n), fold), n, with_kc)
+    if family == COUNTS:
+        inputs = inputs.withColumn("vector", array_to_vector(one_hot_steps()))
+    inputs = inputs.select("student_id", "chunk", "split", "label", "vector")
+    inputs = inputs.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        train = inputs.where(F.col("split") == "train")
+        if balance:
+            train = downsample(train, "label", ["student_id", "chunk"], seed)
+        model = fit(train, family, layers, width=(3 if with_kc else 2) * n, iterations=iterations, seed=seed)
+        # Kept apart from the cache, which goes when this function ends.
+        held = checkpoint(inputs.where(F.col("split").isin(*splits)).drop("split"))
+    finally:
+        inputs.unpersist()
+    return predict(model, held)

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceflow.functions.parsing import answer_word
+from traceflow.functions.parsing import answer_word, without_missing
 from traceflow.functions.text import piece_count
 
 # The instruction with and without the topic.
@@ -44,11 +44,16 @@ def build_prompts(
     incl_kc: bool = True,
     incl_diff: bool = True,
     instruction_role: str = "assistant",
+    missing: str = "error",
 ) -> DataFrame:
     """Add ``prompt``, a chat that ends before the last answer, and ``gt``, that answer.
 
-    ``enriched`` is the output of ``enrich_steps``.
+    ``enriched`` is the output of ``enrich_steps``. A missing answer, or a
+    missing value that the prompt shows, is an error or, with
+    ``missing="drop"``, its sequence is left out.
     """
+    shown = {"questions": incl_q, "kcs": incl_kc, "difficulties": incl_diff}
+    enriched = without_missing(enriched, ["answers", *[c for c, used in shown.items() if used]], missing)
     base = F.array(
         _message(instruction_role, F.lit(INSTRUCTION_WITH_KC if incl_kc else INSTRUCTION))
     )
@@ -126,8 +131,13 @@ def within_budget(
     )
 
 
-def training_lines(sequences: DataFrame) -> DataFrame:
-    """Add ``line``: difficulty and answer of every step, the last one included."""
+def training_lines(sequences: DataFrame, missing: str = "error") -> DataFrame:
+    """Add ``line``: difficulty and answer of every step, the last one included.
+
+    A missing answer or difficulty is an error or, with ``missing="drop"``, its
+    sequence is left out.
+    """
+    sequences = without_missing(sequences, ["difficulties", "answers"], missing)
     step = F.zip_with(
         "difficulties",
         "answers",

@@ -11,11 +11,20 @@ from traceflow.operators.ranking import ordered_positions
 TOP_ROWS = 10_000
 
 
+def _total_order(rows: DataFrame, order: Sequence[str]) -> list[str]:
+    """The given keys and then every other column that has an order."""
+    rest = [f.name for f in rows.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    return [*order, *[c for c in rest if c not in order]]
+
+
 def position_slice(
     rows: DataFrame, order: Sequence[str], start: int, stop: int, top_rows: int = TOP_ROWS
 ) -> DataFrame:
-    """Rows at positions ``start .. stop - 1`` in the given total order, with ``pos``."""
-    keys = [F.col(c) for c in order]
+    """Rows at positions ``start .. stop - 1`` in the given order, with ``pos``.
+
+    Rows with equal keys are ordered by their other columns, so both paths agree.
+    """
+    keys = [F.col(c) for c in _total_order(rows, order)]
     if stop <= top_rows:
         numbered = (
             rows.orderBy(*keys)
@@ -45,18 +54,7 @@ def leading_slice(
         return position_slice(rows, order, 0, count, top_rows).drop("pos")
     if not compat:
         raise ValueError("a negative count needs compat=True")
-    if -count <= top_rows:
-        key = F.struct(*order)
-        cut = (
-            rows.select(key.alias("_key"))
-            .orderBy(F.col("_key").desc())
-            .limit(-count)
-            .agg(F.min("_key").alias("_cut"))
-        )
-        return (
-            rows.crossJoin(F.broadcast(cut)).where(key < F.col("_cut")).drop("_cut")
-        )
-    placed = ordered_positions(rows, [F.col(c).asc() for c in order])
+    placed = ordered_positions(rows, [F.col(c).asc() for c in _total_order(rows, order)])
     total = placed.agg(F.count(F.lit(1)).alias("_total"))
     return (
         placed.crossJoin(F.broadcast(total))

@@ -2,6 +2,8 @@
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,32 +54,26 @@ def mean_vectors(
     """Mean of the vectors of a text's words, every occurrence counted.
 
     ``vectors`` has ``vec_id, embedding``; ``word_key`` maps a word column to a
-    ``vec_id``. Words without a vector do not count. A small vector table is
-    broadcast, and the sums of a text are then complete before its shuffle;
-    otherwise the words are counted per text before they meet their vectors.
+    ``vec_id``. Words without a vector do not count, and a text without a known
+    word has a NULL mean. A vector of another length than ``dim``, by default
+    that of one vector of the table, is an error. Words are counted per text
+    before they meet their vectors; a small vector table is broadcast.
     """
     if dim is None:
-        dim = vectors.select(F.size("embedding")).first()[0]
+        dim = (vectors.select(F.size("embedding")).first() or [0])[0]
     found = documents.select(doc, F.explode(words(text)).alias("_word")).select(
         doc, word_key(F.col("_word")).alias("vec_id")
     )
-    table = vectors.select("vec_id", "embedding")
-    if fits_broadcast(table):
-        joined = found.join(F.broadcast(table), "vec_id").withColumn("_times", F.lit(1.0))
+    length = F.concat(F.lit("vector of another length: "), F.col("vec_id").cast("string"))
+    checked = F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(
+        F.raise_error(length).cast("array<double>")
+    )
+    table = vectors.select("vec_id", array_to_vector(checked.cast("array<double>")).alias("_vector"))
+    counted = found.groupBy(doc, "vec_id").agg(F.count(F.lit(1)).cast("double").alias("_times"))
+    if fits_broadcast(vectors.select("vec_id", "embedding")):
+        joined = counted.join(F.broadcast(table), "vec_id")
     else:
-        counted = found.groupBy(doc, "vec_id").agg(
-            F.count(F.lit(1)).cast("double").alias("_times")
-        )
         joined = salted_join(counted, table, "vec_id", "inner", row_key=(doc, "vec_id"))
-    times = F.col("_times")
-    sums = [
-        F.sum(F.get("embedding", F.lit(i)).cast("double") * times).alias(f"_s{i}")
-        for i in range(dim)
-    ]
-    return (
-        joined.groupBy(doc)
-        .agg(*sums, F.sum(times).alias("_n"))
-        .select(
-            doc, F.array(*[F.col(f"_s{i}") / F.col("_n") for i in range(dim)]).alias("embedding")
-        )
-    )
+    mean = Summarizer.mean(F.col("_vector"), F.col("_times"))
+    means = joined.groupBy(doc).agg(vector_to_array(mean).alias("embedding"))
+    return documents.select(doc).join(means, doc, "left")

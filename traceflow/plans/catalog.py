@@ -5,7 +5,7 @@ Lists are shown as joined text so that every result is flat.
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from traceflow.functions.features import model_inputs, truncate_steps
@@ -36,17 +36,23 @@ from traceflow.operators import (
     vocabulary,
 )
 from traceflow.operators.ranking import hash_positions
+from traceflow.schemas import SEQUENCE_FILE
+from traceflow.sources import readers
 from traceflow.sources import testtables as tt
 from traceflow.sources.writers import json_records, training_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Between prompts of ten and of twenty steps.
+PROMPT_BUDGET = 700
+
 LISTS = ["question_ids", "answers", "difficulties", "hint_used"]
 SEQUENCE_KEY = ["student_id", "chunk"]
 
 
 def joined(name: str, separator: str = ",") -> Column:
-    return F.array_join(F.col(name).cast("array<string>"), separator).alias(name)
+    """A list as text, in which a missing value shows as ``?``."""
+    return F.array_join(F.col(name).cast("array<string>"), separator, "?").alias(name)
 
 
 def flat(rows: DataFrame) -> DataFrame:
@@ -233,9 +239,9 @@ def kc_rule(rule: str) -> Query:
     return lambda spark, sf: lookups.one_kc(tt.question_kc(spark, sf), rule, tt.KC_ORDER)
 
 
-def _enriched(spark: SparkSession, sf: str, n: int = 5) -> DataFrame:
+def _enriched(spark: SparkSession, sf: str, *lengths: int) -> DataFrame:
     return lookups.enrich_steps(
-        _sequences(spark, sf, n),
+        _sequences(spark, sf, *(lengths or (5,))),
         tt.questions(spark, sf),
         lookups.one_kc(tt.question_kc(spark, sf), "first", tt.KC_ORDER),
     )
@@ -387,10 +393,12 @@ def word_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def mean_pool(spark: SparkSession, sf: str) -> DataFrame:
     vectors = tt.table(spark, sf, "embeddings").select("vec_id", "embedding")
-    # Words are spread over 500 vectors, which exist at every scale.
+    # Words are spread over all vectors, of which some stay without a word.
+    many = vectors.count()
+
     def word_key(word: Column) -> Column:
-        mixed = F.ascii(word) * 7 + F.ascii(F.substring(word, -1, 1)) * 31 + F.length(word) * 101
-        return F.pmod(mixed, F.lit(500)).cast("long")
+        digest = F.conv(F.substring(F.md5(word), 1, 12), 16, 10).cast("long")
+        return F.pmod(digest, F.lit(many))
 
     pooled = vocabulary.mean_vectors(tt.texts(spark, sf), vectors, word_key)
     shown = F.transform("embedding", lambda v: F.round(v * 1e6).cast("long").cast("string"))
@@ -429,11 +437,12 @@ def all_prompts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prompts_in_budget(spark: SparkSession, sf: str) -> DataFrame:
+    """Prompts of three lengths, of which the budget keeps the shorter ones."""
     rows = prompts.within_budget(
-        _prompts(spark, sf, incl_id=False, incl_q=False, incl_kc=True), max_tokens=330
+        prompts.build_prompts(_enriched(spark, sf, 5, 10, 20)), max_tokens=PROMPT_BUDGET
     )
     return rows.select(
-        "student_id", "chunk", "tokens", prompts.prompt_text("prompt").alias("prompt"), "gt"
+        "student_id", "n", "chunk", "tokens", prompts.prompt_text("prompt").alias("prompt"), "gt"
     )
 
 
@@ -461,10 +470,110 @@ def model_predictions(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("student_id", "chunk", "label", "pred", "conf")
 
 
+def counts_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Hold-out and validation scores of the family that is fitted from counts."""
+    scored = models.fit_and_predict(
+        _sequences(spark, sf, 5, labelled=True), 5, models.COUNTS, splits=("val", "test")
+    )
+    return scored.select("student_id", "chunk", "label", "pred", F.round("conf", 8).alias("conf"))
+
+
+def _rough_log(spark: SparkSession, sf: str) -> DataFrame:
+    """A log with repeated times, missing answers, unknown questions and copied histories."""
+    log = tt.attempts(spark, sf)
+    rough = log.withColumns(
+        {
+            "start_time": F.date_trunc("week", "start_time"),
+            "answer": F.when(F.pmod("seq", F.lit(23)) != 0, F.col("answer")),
+            "question_id": F.when(F.pmod("seq", F.lit(41)) != 0, F.col("question_id")).otherwise(
+                F.col("question_id") + 10**9
+            ),
+        }
+    )
+    # The first five attempts of a student come again right after, as a second chunk.
+    order = Window.partitionBy("student_id").orderBy("start_time", "seq")
+    placed = rough.withColumn("_pos", F.row_number().over(order) - 1)
+    again = placed.where("_pos < 5").withColumn("seq", F.col("seq") - 10**9)
+    again = again.withColumn("start_time", F.lit("1990-01-01").cast(log.schema["start_time"].dataType))
+    first = placed.where("_pos < 5").withColumn("seq", F.col("seq") - 2 * 10**9)
+    first = first.withColumn("start_time", F.lit("1980-01-01").cast(log.schema["start_time"].dataType))
+    return placed.union(again).union(first).drop("_pos")
+
+
+def sequences_rough(spark: SparkSession, sf: str) -> DataFrame:
+    """Sequences of a log in which every special rule of the chunks applies."""
+    found = history.sequences(_rough_log(spark, sf), tt.questions(spark, sf), (5,), unknown="drop")
+    return flat(found)
+
+
+def _repeated_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as questions that occur many times; the line order is the file's order."""
+    return tt.table(spark, sf, "lineitem").select(
+        F.col("l_partkey").alias("id"),
+        (F.pmod(F.col("l_quantity").cast("int"), F.lit(3)) + 1).cast("int").alias("difficulty"),
+        *tt.KC_ORDER,
+    )
+
+
+def sequences_question_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Difficulties from the first row of each repeated question."""
+    found = history.sequences(
+        tt.attempts(spark, sf), _repeated_questions(spark, sf), (5,), unknown="drop", question_order=tt.KC_ORDER
+    )
+    return flat(found)
+
+
+def metrics_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics where a third of the labels has no prediction, with their number."""
+    labels = tt.table(spark, sf, "labels")
+    rows = metrics.pair_predictions(
+        labels.select("doc_id", F.col("quality").alias("label")),
+        labels.where(F.pmod("doc_id", F.lit(3)) != 0).select("doc_id", F.col("toxic").alias("pred")),
+        "doc_id",
+    )
+    return metrics.binary_metrics(rows).join(metrics.unpaired(rows))
+
+
+def enriched_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Steps of a question table that lacks most questions; no sequence is lost."""
+    few = tt.questions(spark, sf).where(F.pmod("id", F.lit(7)) == 0)
+    found = lookups.enrich_steps(
+        _sequences(spark, sf, 5), few, lookups.one_kc(tt.question_kc(spark, sf), "first", tt.KC_ORDER)
+    )
+    return flat(found)
+
+
+def parsed_attempts(spark: SparkSession, sf: str) -> DataFrame:
+    """Attempts through the form in which a log file holds them, one CSV line each."""
+    events = tt.table(spark, sf, "events")
+    line = F.to_csv(
+        F.struct(
+            F.col("event_id").alias("id"),
+            F.col("user_id").alias("student_id"),
+            F.get_json_object("props", "$.k").alias("question_id"),
+            F.when(F.col("event_type") != "error", "True").otherwise("False").alias("answer_state"),
+            F.when(F.col("event_type") == "view", "n/a").otherwise((F.col("value") > 100).cast("string")).alias("hint_used"),
+            F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start_time"),
+        )
+    )
+    names = ("id", "student_id", "question_id", "answer_state", "hint_used", "start_time")
+    fields = F.from_csv(line, F.lit(", ".join(f"{n} string" for n in names)))
+    read = readers.parse_attempts(events.select(fields.alias("_row")).select("_row.*"))
+    return read.withColumn("start_time", F.unix_micros("start_time"))
+
+
+def sequence_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Sequences as JSON records and read back from them."""
+    found = _sequences(spark, sf, 5)
+    record = F.to_json(F.struct("student_id", *LISTS))
+    raw = found.select("chunk", F.from_json(record, SEQUENCE_FILE).alias("_row"))
+    return flat(readers.parse_sequences(raw.select("_row.*", "chunk")))
+
+
 def prediction_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Eleven hold-out predictions with their confidence and a verdict."""
+    """Eleven hold-out predictions with their confidence and a verdict, at places every scale has."""
     scored = model_predictions(spark, sf)
-    report = slices.position_slice(scored, SEQUENCE_KEY, 55, 66)
+    report = slices.position_slice(scored, SEQUENCE_KEY, 10, 21)
     return report.withColumn("percent", F.col("conf") * 100).withColumn(
         "verdict", verdict("label", "pred", "conf")
     )
@@ -480,7 +589,7 @@ def balanced_kc_run(spark: SparkSession, sf: str) -> DataFrame:
 
 def grid_best(spark: SparkSession, sf: str) -> DataFrame:
     labelled = _sequences(spark, sf, 5, 10, 20, labelled=True)
-    log = models.run_grid(labelled, models.grid(), iterations=3)
+    log = models.run_grid(labelled, models.grid())
     return _flat_best(selection.best_config(log))
 
 
@@ -545,6 +654,13 @@ def queries() -> dict[str, Query]:
         "batch_scored_metrics": batch_scored_metrics,
         "batch_scored_exact": batch_scored_exact,
         "model_predictions": model_predictions,
+        "counts_predictions": counts_predictions,
+        "sequences_rough": sequences_rough,
+        "sequences_question_order": sequences_question_order,
+        "metrics_with_gaps": metrics_with_gaps,
+        "enriched_with_gaps": enriched_with_gaps,
+        "parsed_attempts": parsed_attempts,
+        "sequence_records": sequence_records,
         "prediction_report": prediction_report,
         "balanced_kc_run": balanced_kc_run,
         "grid_best": grid_best,

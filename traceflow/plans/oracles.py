@@ -72,7 +72,7 @@ def _base(*lengths: int, labelled: bool = False) -> str:
 
 
 def _joined(name: str) -> str:
-    return f"array_to_string({name}, ',') AS {name}"
+    return f"array_to_string(list_transform({name}, lambda x: coalesce(CAST(x AS VARCHAR), '?')), ',') AS {name}"
 
 
 JOINED = ", ".join(_joined(name) for name in LISTS)
@@ -103,9 +103,9 @@ ENRICHED = f"""enriched AS (
     JOIN kc_first USING (question_id))"""
 
 
-def _enriched(n: int = 5) -> str:
+def _enriched(*lengths: int) -> str:
     return _with(
-        ATTEMPTS, QUESTIONS, POSITIONS, _chunks(n), STEPS, FIRST_KC, ENRICHED
+        ATTEMPTS, QUESTIONS, POSITIONS, _chunks(*(lengths or (5,))), STEPS, FIRST_KC, ENRICHED
     )
 
 
@@ -113,12 +113,12 @@ def _word(flag: str) -> str:
     return f"CASE WHEN {flag} = 1 THEN 'CORRECT' ELSE 'WRONG' END"
 
 
-def _prompt(content: str, n: int = 5) -> str:
+def _prompt(content: str, *lengths: int) -> str:
     """Prompt texts as a CTE ``chat``; contents hold no quote characters."""
     return (
-        _enriched(n)
+        _enriched(*lengths)
         + f""", chat AS (
-    SELECT student_id, chunk, 2 * count(*) AS messages,
+    SELECT student_id, CAST(n AS INTEGER) AS n, chunk, 2 * count(*) AS messages,
            '[{{''role'': ''assistant'', ''content'': ''{INSTRUCTION_WITH_KC}''}}, ' ||
            string_agg('{{''role'': ''user'', ''content'': ''' || {content} || '''}}' ||
                       CASE WHEN i < n THEN ', {{''role'': ''assistant'', ''content'': ''' ||
@@ -356,10 +356,10 @@ def _prompt_oracles() -> dict[str, str]:
     return {
         "prompts": _prompt(FULL) + "SELECT student_id, chunk, CAST(messages AS INTEGER) AS messages, "
         "prompt, gt FROM chat",
-        "prompts_in_budget": _prompt(SHORT)
-        + f"""SELECT student_id, chunk, CAST(tokens AS INTEGER) AS tokens, prompt, gt
+        "prompts_in_budget": _prompt(FULL, 5, 10, 20)
+        + f"""SELECT student_id, n, chunk, CAST(tokens AS INTEGER) AS tokens, prompt, gt
 FROM (SELECT *, length(regexp_extract_all(prompt, '{PIECE}')) AS tokens FROM chat)
-WHERE tokens <= 330""",
+WHERE tokens <= 700""",
         "batch_scored": _prompt(SHORT)
         + "SELECT student_id, chunk, gt, previous AS pred FROM chat",
         "batch_scored_metrics": scored + _word_metrics("answered"),
@@ -456,7 +456,7 @@ FROM (SELECT doc_id, word, min(pos) AS first_pos FROM words GROUP BY doc_id, wor
         "mean_pool": _with(WORDS)
         + """, counted AS (
     SELECT doc_id,
-           (unicode(word) * 7 + unicode(word[-1]) * 31 + length(word) * 101) % 500 AS vec_id,
+           CAST('0x' || substr(md5(word), 1, 12) AS BIGINT) % (SELECT count(*) FROM embeddings) AS vec_id,
            count(*) AS times
     FROM words GROUP BY ALL),
 dims AS (
@@ -465,8 +465,8 @@ dims AS (
 means AS (
     SELECT doc_id, d, sum(x * times) / sum(times) AS m
     FROM counted JOIN dims USING (vec_id) GROUP BY doc_id, d)
-SELECT doc_id, string_agg(CAST(round(m * 1e6) AS BIGINT), ',' ORDER BY d) AS embedding
-FROM means GROUP BY doc_id""",
+SELECT documents.doc_id, string_agg(CAST(round(m * 1e6) AS BIGINT), ',' ORDER BY d) AS embedding
+FROM documents LEFT JOIN means USING (doc_id) GROUP BY documents.doc_id""",
         "packed_blocks": f"""WITH counted AS (
     SELECT doc_id, regexp_extract_all(text, '{PIECE}') AS t FROM documents),
 placed AS (
@@ -480,5 +480,89 @@ FROM tokens GROUP BY ALL HAVING count(*) = 128""",
     }
 
 
+COUNTS_SQL = """, inputs AS (
+    SELECT student_id, chunk, block, answers[5] AS label, answers, difficulties FROM labelled),
+features AS (
+    SELECT student_id, chunk, (i - 1) * 6 + (difficulties[i] - 1) * 2 + answers[i] AS f
+    FROM inputs, range(1, 5) t(i)
+    UNION ALL SELECT student_id, chunk, 24 + difficulties[5] - 1 FROM inputs),
+train AS (SELECT * FROM inputs WHERE block NOT IN ('0', 'test')),
+prior AS (
+    SELECT label, ln(count(*) + 1.0::DOUBLE) - ln((SELECT count(*) FROM train) + 2.0::DOUBLE) AS pi,
+           5 * count(*) AS total
+    FROM train GROUP BY label),
+seen AS (SELECT label, f, count(*) AS times FROM train JOIN features USING (student_id, chunk) GROUP BY ALL),
+theta AS (
+    SELECT label, f, pi, ln(coalesce(times, 0) + 1.0::DOUBLE) - ln(total + 27.0::DOUBLE) AS w
+    FROM prior CROSS JOIN range(27) t(f) LEFT JOIN seen USING (label, f)),
+scores AS (
+    SELECT student_id, chunk, theta.label AS c, any_value(pi) + sum(w) AS s
+    FROM features JOIN theta USING (f) GROUP BY ALL),
+scored AS (
+    SELECT student_id, chunk, 1 / (1 + exp(max(s) FILTER (c = 0) - max(s) FILTER (c = 1))) AS conf
+    FROM scores GROUP BY ALL)
+SELECT student_id, chunk, CAST(label AS INTEGER) AS label, CAST(conf >= 0.5 AS INTEGER) AS pred,
+       round(conf, 8) AS conf
+FROM scored JOIN inputs USING (student_id, chunk) WHERE block IN ('0', 'test')"""
+
+
+def _edge_oracles() -> dict[str, str]:
+    """Queries on data in which the rare rules apply."""
+    rough = """rough AS (
+    SELECT student_id, CASE WHEN seq % 41 <> 0 THEN question_id ELSE question_id + 1000000000 END AS question_id,
+           CASE WHEN seq % 23 <> 0 THEN answer END AS answer, hint,
+           CAST(date_trunc('week', start_time) AS TIMESTAMP) AS start_time, seq
+    FROM attempts),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY start_time, seq) - 1 AS pos FROM rough),
+log AS (
+    SELECT student_id, question_id, answer, hint, start_time, seq FROM placed
+    UNION ALL SELECT student_id, question_id, answer, hint, TIMESTAMP '1990-01-01', seq - 1000000000 FROM placed WHERE pos < 5
+    UNION ALL SELECT student_id, question_id, answer, hint, TIMESTAMP '1980-01-01', seq - 2000000000 FROM placed WHERE pos < 5)"""
+    positions = POSITIONS.replace("FROM attempts", "FROM log")
+    # Chunks with an unknown question go; one with a missing value is never a copy.
+    chunks = (
+        _chunks(5)
+        .replace("JOIN questions", "LEFT JOIN questions")
+        .replace("HAVING ", "HAVING count(questions.id) = n AND ")
+        .replace("list(hint ORDER BY pos) AS hint_used", "list(hint ORDER BY pos) AS hint_used, "
+                 "CASE WHEN count(answer) < n OR count(hint) < n OR count(difficulty) < n THEN pos // n END AS own")
+        .replace("difficulties, hint_used)", "difficulties, hint_used, own)")
+    )
+    found = f"SELECT student_id, CAST(n AS INTEGER) AS n, chunk, {JOINED} FROM seqs"
+    first_line = """questions AS (
+    SELECT l_partkey AS id, CAST(first(CAST(l_quantity AS INTEGER) ORDER BY l_orderkey, l_linenumber, l_suppkey) % 3 + 1 AS INTEGER) AS difficulty
+    FROM lineitem GROUP BY l_partkey)"""
+    few = {
+        "question_ids": "question_id", "questions": "question", "kcs": "kc",
+        "difficulties": "difficulty", "answers": "answer",
+    }
+    lists = ", ".join(
+        f"coalesce(string_agg({c}, ',' ORDER BY i) FILTER (enriched.question_id % 7 = 0), '') AS {name}"
+        for name, c in few.items()
+    )
+    gaps = (
+        "pairs AS (SELECT a.quality AS label, b.toxic AS pred FROM labels a LEFT JOIN "
+        "(SELECT * FROM labels WHERE doc_id % 3 <> 0) b USING (doc_id))"
+    )
+    return {
+        "counts_predictions": _base(5, labelled=True) + COUNTS_SQL,
+        "sequences_rough": _with(ATTEMPTS, QUESTIONS, rough, positions, chunks) + found,
+        "sequences_question_order": _with(ATTEMPTS, first_line, POSITIONS, chunks) + found,
+        "metrics_with_gaps": _with(gaps)
+        + f"""SELECT * FROM ({_metrics()}), (SELECT count(*) FILTER (label IS NOT NULL AND pred IS NULL) AS n_unpaired,
+       count(*) FILTER (label IS NULL) AS n_unlabelled FROM pairs)""",
+        "enriched_with_gaps": _enriched()
+        + f"SELECT student_id, CAST(n AS INTEGER) AS n, chunk, {lists} FROM enriched GROUP BY student_id, n, chunk",
+        "parsed_attempts": """SELECT user_id AS student_id,
+       CAST(json_extract_string(props, '$.k') AS BIGINT) AS question_id,
+       CAST(event_type <> 'error' AS INTEGER) AS answer,
+       CASE WHEN event_type <> 'view' THEN CAST(value > 100 AS INTEGER) END AS hint,
+       epoch_us(ts) AS start_time, event_id AS seq FROM events""",
+        "sequence_records": _base(5)
+        + f"SELECT student_id, CAST(n AS INTEGER) AS n, chunk, {JOINED} FROM seqs",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
-    return {**_sequence_oracles(), **_prompt_oracles(), **_table_oracles()}
+    return {**_sequence_oracles(), **_prompt_oracles(), **_table_oracles(), **_edge_oracles()}

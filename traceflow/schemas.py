@@ -57,6 +57,8 @@ SEQUENCE = T.StructType(
     ]
 )
 
+# What identifies a sequence.
+SEQUENCE_KEY = ("student_id", "n", "chunk")
 # Files written by other tools may hold NaN for a missing flag, so whole
 # numbers are read as doubles first.
 SEQUENCE_FILE = T.StructType(
@@ -96,3 +98,5 @@ RUN_LOG = T.StructType(
         T.StructField("grid_order", T.IntegerType()),
     ]
 )
+# The log of a grid also has the mean loss of each epoch.
+GRID_LOG = T.StructType([*RUN_LOG.fields, T.StructField("loss", T.DoubleType())])

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from traceflow.functions.parsing import flag
-from traceflow.schemas import KC_LINK, KCS, QUESTION_KC, QUESTIONS, SEQUENCE_FILE
+from traceflow.schemas import KC_LINK, KCS, QUESTION_KC, QUESTIONS, SEQUENCE_FILE, SEQUENCE_KEY
 
 
 def _csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
@@ -33,14 +33,22 @@ def read_attempts(
     ``multi_line`` only for files with line breaks inside fields, as such files
     cannot be read in parallel.
     """
-    raw = _csv(spark, path, multi_line)
+    return parse_attempts(_csv(spark, path, multi_line), seq)
+
+
+def parse_attempts(raw: DataFrame, seq: str | Column | None = "id") -> DataFrame:
+    """Attempts from a table of text columns.
+
+    A student or question id that is no whole number is an error. A time that
+    cannot be read becomes NULL, which orders last; ``unread_times`` counts them.
+    """
     used = ["student_id", "question_id", "answer_state", "hint_used", "start_time"]
     if seq is None:
         tie = F.xxhash64(*used)
     else:
         tie = (F.col(seq) if isinstance(seq, str) else seq).cast("long")
     return raw.select(
-        F.col("student_id").try_cast("long").alias("student_id"),
+        F.col("student_id").cast("long").alias("student_id"),
         F.col("question_id").cast("long").alias("question_id"),
         flag("answer_state").alias("answer"),
         flag("hint_used").alias("hint"),
@@ -49,6 +57,12 @@ def read_attempts(
     )
 
 
+def unread_times(raw: DataFrame) -> DataFrame:
+    """``n_unread``: texts of ``start_time`` that are no time."""
+    time = F.col("start_time")
+    return raw.agg(F.count_if(time.isNotNull() & time.try_cast("timestamp").isNull()).alias("n_unread"))
+
+
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return _typed(_csv(spark, path, True), QUESTIONS)
 
@@ -70,16 +84,30 @@ def read_kc_link(spark: SparkSession, path: str) -> DataFrame:
 def read_sequence_file(spark: SparkSession, path: str) -> DataFrame:
     """A file that is one JSON array of sequence records; NaN becomes NULL.
 
-    Such a file is one unit of work. Use ``read_sequences`` for data at scale.
+    ``chunk`` is the place of the record, as the file has no other key, and
+    ``n`` the number of its answers. Such a file is one unit of work. Use
+    ``read_sequences`` for data at scale.
     """
-    raw = spark.read.schema(SEQUENCE_FILE).json(path, multiLine=True)
+    return parse_sequences(spark.read.schema(SEQUENCE_FILE).json(path, multiLine=True)).withColumn(
+        "chunk", F.monotonically_increasing_id()
+    ).select(*SEQUENCE_KEY, "question_ids", "answers", "difficulties", "hint_used")
+
+
+def parse_sequences(raw: DataFrame) -> DataFrame:
+    """Whole-number lists, and the length ``n``, of records read as SEQUENCE_FILE."""
 
     def whole(name: str) -> Column:
         clean = F.transform(name, lambda v: F.when(~F.isnan(v), v).cast("int"))
         return clean.alias(name)
 
     return raw.select(
-        "student_id", "question_ids", whole("answers"), whole("difficulties"), whole("hint_used")
+        "student_id",
+        F.size("answers").alias("n"),
+        "question_ids",
+        whole("answers"),
+        whole("difficulties"),
+        whole("hint_used"),
+        *[c for c in raw.columns if c not in SEQUENCE_FILE.fieldNames()],
     )
 
 
