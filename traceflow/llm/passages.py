@@ -10,9 +10,8 @@
    equal words are passages. They stay in the earlier document only.
 """
 
-import re
-from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +27,7 @@ SEEDS = ((5, 10), (24, 27))
 # Bytes between two anchors of a chain at most, and bytes of context cut around a chain.
 MAX_GAP = 500
 CONTEXT = 1000
+_GAP_COST = 0.05
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
@@ -35,9 +35,8 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 _IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 # Bytes of text hashed at once.
-_SLAB = 4_000_000
+_SLAB = 1_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -46,10 +45,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_power_tables: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    if len(_power_tables.get(base, ())) < n:
+        # Doubled sizes, so the table is not made anew for every slab.
+        out = np.full(1 << max(16, n.bit_length()), base, np.uint64)
+        out[0] = 1
+        _power_tables[base] = np.multiply.accumulate(out)
+    return _power_tables[base][:n]
 
 
 def _range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -82,7 +87,6 @@ def seeds_of(texts: list[bytes], kinds=SEEDS) -> Iterator[tuple[np.ndarray, ...]
         return
     word = _range_hash(_LOWER[data].astype(np.uint64) + np.uint64(1), begin, end)
     owner = np.searchsorted(starts_of, begin, side="right") - 1
-    per_text = np.bincount(owner, minlength=len(texts))
     for k, window in kinds:
         many = len(word) - k + 1
         if many <= 0:
@@ -106,7 +110,6 @@ def seeds_of(texts: list[bytes], kinds=SEEDS) -> Iterator[tuple[np.ndarray, ...]
         first[order[1:]] = (ho[1:] != ho[:-1]) | (oo[1:] != oo[:-1])
         base = starts_of[o]
         yield h.view(np.int64), o, begin[chosen] - base, end[chosen + k - 1] - base, first
-    del per_text
 
 
 def _seed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,11 +165,30 @@ def chains_of(anchors: list[tuple[int, int, int, int]], max_gap: int = MAX_GAP)
     more than ``max_gap`` bytes cuts a chain.
     """
     order = sorted(range(len(anchors)), key=lambda i: (anchors[i][0], -anchors[i][2]))
+    places = [anchors[i][2] for i in order]
+    starts = [anchors[i][0] for i in order]
+    if all(x < y for x, y in pairwise(places)) and all(x < y for x, y in pairwise(starts)):
+        # In order in both texts: each anchor goes on from the one before, or starts anew.
+        held, chains = 0.0, []
+        for before, i in zip([None, *order], order, strict=False):
+            if before is None:
+                chains.append([i])
+            else:
+                gap = anchors[i][0] - anchors[before][0] + anchors[i][2] - anchors[before][2]
+                held -= _GAP_COST * gap
+                near = max(anchors[i][0] - anchors[before][1], anchors[i][2] - anchors[before][3]) <= max_gap
+                if held > 0 and near:
+                    chains[-1].append(i)
+                else:
+                    held = 0.0
+                    chains.append([i])
+            held += anchors[i][1] - anchors[i][0]
+        return chains
     ranks = {b: r + 1 for r, b in enumerate(sorted({a[2] for a in anchors}))}
     best_score = [0.0] * (len(ranks) + 1)
     best_from = [-1] * (len(ranks) + 1)
     score, back = [0.0] * len(anchors), [-1] * len(anchors)
-    cost = 0.05
+    cost = _GAP_COST
     for i in order:
         a, a_end, b, _ = anchors[i]
         r, top, came = ranks[b] - 1, 0.0, -1
@@ -189,7 +211,7 @@ def chains_of(anchors: list[tuple[int, int, int, int]], max_gap: int = MAX_GAP)
             at = back[at]
         chain.reverse()
         part = chain[:1]
-        for before, now in zip(chain, chain[1:], strict=False):
+        for before, now in pairwise(chain):
             near = anchors[now][0] - anchors[before][1] <= max_gap
             if not near or anchors[now][2] - anchors[before][3] > max_gap:
                 chains.append(part)
@@ -252,21 +274,26 @@ def _chain_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield flush()
 
 
-def _edit_matches(a: list[bytes], b: list[bytes]) -> int:
-    """Equal words in an alignment of a and b with the fewest edits."""
-    row = [(j, 0) for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], (i, 0)
-        for j, y in enumerate(b, 1):
-            edits, equal = diagonal
-            same = x == y
-            options = [(edits + (not same), -(equal + same))]
-            options.append((row[j][0] + 1, -row[j][1]))
-            options.append((row[j - 1][0] + 1, -row[j - 1][1]))
-            diagonal = row[j]
-            edits, equal = min(options)
-            row[j] = (edits, -equal)
-    return row[-1][1]
+def _common_words(a: list[bytes], b: list[bytes]) -> int:
+    """Most equal words in an alignment that keeps the order of both (bit-parallel)."""
+    first = 0
+    while first < len(a) and first < len(b) and a[first] == b[first]:
+        first += 1
+    last = 0
+    while last < min(len(a), len(b)) - first and a[-1 - last] == b[-1 - last]:
+        last += 1
+    left, right = a[first : len(a) - last], b[first : len(b) - last]
+    if not left or not right:
+        return first + last
+    places: dict[bytes, int] = {}
+    for i, x in enumerate(left):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(left)) - 1
+    row = full
+    for x in right:
+        hit = row & places.get(x, 0)
+        row = (row + hit | row - hit) & full
+    return first + last + len(left) - row.bit_count()
 
 
 def _passages(
@@ -286,7 +313,7 @@ def _passages(
         equal = unequal = 0
         if runs:
             a, b = words[runs[-1][0] + runs[-1][2] : i], source[runs[-1][1] + runs[-1][2] : j]
-            equal = _edit_matches(a, b)
+            equal = _common_words(a, b)
             unequal = max(len(a), len(b)) - equal
         runs.append([i, j, length, equal, unequal])
     found = []
@@ -307,32 +334,33 @@ def _passages(
     return [(a, b) for a, b in found if b - a >= min_words]
 
 
+def _word_starts(text: bytes) -> np.ndarray:
+    space = _IS_SPACE[np.frombuffer(text, np.uint8)]
+    return np.flatnonzero(~space & np.r_[True, space[:-1]]) if len(space) else np.zeros(0, np.int64)
+
+
 def repeated_ranges(
     text: bytes, passages: list[dict], min_words: int = MIN_WORDS, similarity: float = SIMILARITY
-) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
-    """All words of a text as byte ranges, and its passages as (first word, end word, source)."""
-    spans = [m.span() for m in _WORD.finditer(text)]
-    words = [text[a:b].lower() for a, b in spans]
-    at = {a: i for i, (a, _) in enumerate(spans)}
+) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Byte offsets of the words of a text, and its passages as (first word, end word, source)."""
+    begins, words = _word_starts(text), text.lower().split()
     found = set()
     for p in passages:
         piece, base = p["piece"], p["piece_from"]
-        cut = [m.span() for m in _WORD.finditer(piece)]
+        source, places = piece.lower().split(), _word_starts(piece) + base
         # A word at a cut end may be part of a longer one.
-        if base > 0:
-            cut = cut[1:]
-        if not p["piece_is_last"]:
-            cut = cut[:-1]
-        source = [piece[a:b].lower() for a, b in cut]
-        places = [a + base for a, _ in cut]
-        anchors = []
-        for a, b in zip(p["at"], p["source_at"], strict=True):
-            j = bisect_left(places, b)
-            if a in at and j < len(places) and places[j] == b:
-                anchors.append((at[a], j))
+        first, last = int(base > 0), len(source) - (not p["piece_is_last"])
+        source, places = source[first:last], places[first:last]
+        if not source:
+            continue
+        at, source_at = np.array(p["at"]), np.array(p["source_at"])
+        i, j = np.searchsorted(begins, at), np.searchsorted(places, source_at)
+        i, j = np.minimum(i, len(words) - 1), np.minimum(j, len(source) - 1)
+        good = (begins[i] == at) & (places[j] == source_at)
+        anchors = list(zip(i[good].tolist(), j[good].tolist(), strict=True))
         for a, b in _passages(words, source, anchors, min_words, similarity):
             found.add((a, b, p["source"]))
-    return spans, sorted(found)
+    return begins, sorted(found)
 
 
 def _cut_batches(id_type: str):
@@ -341,18 +369,26 @@ def _cut_batches(id_type: str):
             columns: dict[str, list] = {k: [] for k in ("doc_id", "n_words", "n_removed", "spans", "kept")}
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_py()
-                spans, found = repeated_ranges(text or b"", batch.column(2)[i].as_py() or [])
-                gone = np.zeros(len(spans) + 1, bool)
+                pieces = batch.column(2)[i].as_py()
+                if not pieces:
+                    columns["doc_id"].append(batch.column(0)[i].as_py())
+                    columns["n_words"].append(len((text or b"").split()))
+                    columns["n_removed"].append(0)
+                    columns["spans"].append([])
+                    columns["kept"].append(None if text is None else text.decode("utf-8", "replace"))
+                    continue
+                starts, found = repeated_ranges(text or b"", pieces)
+                gone = np.zeros(len(starts) + 1, bool)
                 for a, b, _ in found:
                     gone[a:b] = True
                 kept = text
                 if found:
-                    begins = [a for a, _ in spans] + [len(text)]
+                    begins = [*starts.tolist(), len(text)]
                     edges = np.flatnonzero(np.diff(np.r_[False, gone].astype(np.int8)))
                     bounds = [0, *[begins[e] for e in edges], len(text)]
                     kept = b"".join(text[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True))
                 columns["doc_id"].append(batch.column(0)[i].as_py())
-                columns["n_words"].append(len(spans))
+                columns["n_words"].append(len(starts))
                 columns["n_removed"].append(int(gone.sum()))
                 columns["spans"].append(
                     [{"first_word": a, "end_word": b, "source": s} for a, b, s in found]
