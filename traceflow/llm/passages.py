@@ -147,7 +147,8 @@ def _anchors(docs: DataFrame) -> DataFrame:
         F.min_by("start", owner).alias("source_start"),
         F.min_by("end", owner).alias("source_end"),
     )
-    source = source.where("source < _last").drop("_last")
+    # Written first: few seeds repeat, and the shuffle of all seeds is over before the next one.
+    source = store(source.where("source < _last").drop("_last"))
     return (
         seeds.drop("first")
         .join(source, "seed")
