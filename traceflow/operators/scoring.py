@@ -23,27 +23,39 @@ def score_prompts(
     retries: int = 3,
     pause: float = 1.0,
     column: str = "pred",
+    retry_on: tuple[type[Exception], ...] = (Exception,),
+    error: str | None = None,
 ) -> DataFrame:
     """Add the scorer's answer to every row; NULL when all tries failed.
 
+    Only exceptions of ``retry_on`` are tried again, any other stops the job.
+    ``error`` names a column for the text of the last exception of a failed row.
+
     Rows stay in their partitions and answers stay with their rows. The scorer
     may be asked again for a row whose task is run again.
     """
-    schema = T.StructType([*prompts.schema.fields, T.StructField(column, T.StringType())])
+    added = [T.StructField(c, T.StringType()) for c in (column, error) if c]
+    schema = T.StructType([*prompts.schema.fields, *added])
 
-    def ask(messages) -> str | None:
+    def ask(messages) -> tuple[str | None, str | None]:
         chat = [(m["role"], m["content"]) for m in messages]
+        failure = None
         for attempt in range(retries + 1):
             try:
-                return scorer(chat)
-            except Exception:
+                return scorer(chat), None
+            except retry_on as reason:
+                failure = repr(reason)
                 if attempt < retries:
                     time.sleep(pause)
-        return None
+        return None, failure
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            answers = pd.Series([ask(m) for m in frame["prompt"]], index=frame.index, dtype=object)
-            yield frame.assign(**{column: answers})
+            pairs = [ask(m) for m in frame["prompt"]]
+            for place, name in enumerate((column, error)):
+                if name:
+                    values = [p[place] for p in pairs]
+                    frame = frame.assign(**{name: pd.Series(values, index=frame.index, dtype=object)})
+            yield frame
 
     return prompts.mapInPandas(batches, schema)

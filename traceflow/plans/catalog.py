@@ -37,6 +37,7 @@ from traceflow.operators import (
 )
 from traceflow.operators.ranking import hash_positions
 from traceflow.schemas import SEQUENCE_FILE
+from traceflow.session import checkpoint
 from traceflow.sources import readers
 from traceflow.sources import testtables as tt
 from traceflow.sources.writers import json_records, training_text
@@ -176,7 +177,7 @@ def _predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 def position_slice(spark: SparkSession, sf: str) -> DataFrame:
     rows = _predictions(spark, sf)
-    report = slices.position_slice(rows, ["l_orderkey", "l_linenumber", "l_suppkey"], 55, 66)
+    report = slices.position_slice(rows, ["l_orderkey", "l_linenumber", "l_suppkey", "label", "conf"], 55, 66)
     return report.withColumn("verdict", verdict("label", "pred", "conf")).withColumn(
         "percent", F.round(F.col("conf") * 100, 6)
     ).drop("conf")
@@ -258,7 +259,8 @@ def downsampled(spark: SparkSession, sf: str) -> DataFrame:
 
 def downsampled_sequences(spark: SparkSession, sf: str) -> DataFrame:
     train = _sequences(spark, sf, 5, labelled=True).where(splits.in_training(1))
-    rows = train.select("student_id", "chunk", last("answers").alias("label"))
+    # Written once, as balancing reads its input several times.
+    rows = checkpoint(train.select("student_id", "chunk", last("answers").alias("label")))
     return sampling.downsample(rows, "label", SEQUENCE_KEY)
 
 

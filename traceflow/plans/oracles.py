@@ -402,7 +402,7 @@ def _table_oracles() -> dict[str, str]:
        regexp_replace(text, '^{BLANK}+|{BLANK}+$', '', 'g') AS text FROM documents""",
         "position_slice": f"""SELECT l_orderkey, l_linenumber, l_suppkey, label, pred, pos,
        {VERDICT} AS verdict, round(conf * 100, 6) AS percent
-FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_suppkey) - 1 AS pos
+FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_suppkey, label, conf) - 1 AS pos
       FROM ({prediction})) WHERE pos BETWEEN 55 AND 65""",
         "position_slice_ranged": """SELECT event_id AS seq,
        row_number() OVER (ORDER BY ts, event_id) - 1 AS pos FROM events""",
@@ -531,7 +531,7 @@ log AS (
     )
     found = f"SELECT student_id, CAST(n AS INTEGER) AS n, chunk, {JOINED} FROM seqs"
     first_line = """questions AS (
-    SELECT l_partkey AS id, CAST(first(CAST(l_quantity AS INTEGER) ORDER BY l_orderkey, l_linenumber, l_suppkey) % 3 + 1 AS INTEGER) AS difficulty
+    SELECT l_partkey AS id, CAST(first(CAST(l_quantity AS INTEGER) % 3 + 1 ORDER BY l_orderkey, l_linenumber, l_suppkey, CAST(l_quantity AS INTEGER) % 3) AS INTEGER) AS difficulty
     FROM lineitem GROUP BY l_partkey)"""
     few = {
         "question_ids": "question_id", "questions": "question", "kcs": "kc",
