@@ -107,6 +107,7 @@ def _scan_shard(shard: Broadcast, number: int, last: bool, key_type: str):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if number not in _built:
+            _built.clear()
             _built[number] = Matcher(shard.value)
         matcher = _built[number]
         for batch in batches:

@@ -224,14 +224,15 @@ def identify(docs: DataFrame, samples: dict[str, list[str]] | None = None) -> Da
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(training_sample(docs) if samples is None else samples)
+    # Known to the driver only; tells a reused worker that its parser is of another model.
+    number = model._jbroadcast.id()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = model._jbroadcast.id() if getattr(model, "_jbroadcast", None) else id(model)
-        if key not in _built:
+        if number not in _built:
             _built.clear()
-            _built[key] = CrossParser(model.value)
+            _built[number] = CrossParser(model.value)
         for batch in batches:
-            names, scores = _built[key].predict(batch.column(2).to_pylist())
+            names, scores = _built[number].predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 names=["doc_id", "held_out", "lang_pred", "score"],

@@ -221,6 +221,7 @@ def find_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) ->
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if number not in _built:
+            _built.clear()
             _built[number] = Library(shared.value)
         library = _built[number]
         match = pa.list_(pa.struct([("license", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
