@@ -370,7 +370,8 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
 
     def with_replies(replies: DataFrame) -> DataFrame:
         one = F.struct("bucket", "answer")
-        gathered = replies.groupBy("slab").agg(F.collect_list(one).alias("replies"))
+        # Written, so that its partitioning is none and only it is moved to the buckets of the texts.
+        gathered = store(replies.groupBy("slab").agg(F.collect_list(one).alias("replies")))
         return texts.join(gathered.hint("merge"), "slab", "left").select("slab", "ids", "sizes", "data", "replies")
 
     first = reply(texts.mapInArrow(_send_samples(buckets), _NAMES), _survivors).unionByName(copies)
