@@ -200,6 +200,17 @@ def test_fuzzy_passage(spark):
     assert 105 <= found[2][0] <= 120 and found[2][1][0]["source"] == 1
 
 
+def test_runs_of_one_word(spark):
+    """A text that repeats itself: every window of 50 words that the source has is found."""
+    rows = [
+        (1, text_of(21, 30) + " and" * 54 + " " + text_of(22, 30)),
+        (2, text_of(23, 40) + " and" * 135 + " " + text_of(24, 60) + " and" * 61),
+        (3, text_of(25, 10) + " and" * 49 + " " + text_of(26, 10)),
+    ]
+    found = by_id(passages.remove_passages(spark.createDataFrame(rows, "doc_id long, text string")), "n_removed")
+    assert [found[i][0] for i in (1, 2, 3)] == [0, 135 + 61, 0]
+
+
 def test_chains_keep_order():
     anchors = [(0, 30, 100, 130), (50, 80, 150, 180), (60, 90, 20, 50), (100, 130, 200, 230), (5000, 5030, 5100, 5130)]
     chains = sorted(passages.chains_of(anchors), key=len)

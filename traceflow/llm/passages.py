@@ -35,7 +35,8 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 _IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-# Bytes of text hashed at once.
+# Rows handed on at once, and bytes of text hashed at once.
+_ROWS = 256
 _SLAB = 1_000_000
 
 
@@ -226,12 +227,36 @@ def chains_of(anchors: list[tuple[int, int, int, int]], max_gap: int = MAX_GAP)
 _POINTS = "array<int>"
 
 
+def _thinned(points: list[list[int]]) -> tuple[list[tuple[int, int, int, int]], list[list]]:
+    """Anchors, and apart from them those that overlap another one of the same source place.
+
+    Only a text that repeats itself word by word has such; of each place the
+    first anchor is chained, and all of them are aligned on their own.
+    """
+    places: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+    for p in points:
+        places.setdefault((p[2], p[3]), []).append(tuple(p))
+    kept, repeats = [], []
+    for same in places.values():
+        if any(x[1] > y[0] for x, y in pairwise(same)):
+            repeats.append(same)
+            reached = -1
+            for p in same:
+                if reached <= p[0]:
+                    reached = p[1]
+                    kept.append(p)
+        else:
+            kept += same
+    return kept, repeats
+
+
 def _chain_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chains from anchors sorted by (doc_id, source); one pair is held at a time."""
     held: list[list[np.ndarray]] = []
     key = None
     out: list[tuple] = []
-    lone = 24 * 3
+    # The shortest long seed: words of one byte.
+    lone = 2 * SEEDS[-1][0] - 1
 
     def close() -> None:
         if key is None:
@@ -239,10 +264,10 @@ def _chain_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         points = np.concatenate(held) if len(held) > 1 else held[0]
         if len(points) == 1 and points[0][1] - points[0][0] < lone:
             return
-        rows = [tuple(p) for p in np.unique(points, axis=0).tolist()]
-        for chain in chains_of(rows):
-            if len(chain) > 1 or rows[chain[0]][1] - rows[chain[0]][0] >= lone:
-                picked = [rows[i] for i in chain]
+        rows, repeats = _thinned(np.unique(points, axis=0).tolist())
+        found = [[rows[i] for i in chain] for chain in chains_of(rows)]
+        for picked in found + repeats:
+            if picked[0][1] - picked[0][0] >= lone or len(picked) > 1 and picked[0][2] != picked[-1][2]:
                 out.append((*key, *[[p[c] for p in picked] for c in (0, 2)], picked[0][2], picked[-1][3]))
 
     def flush() -> pa.RecordBatch:
@@ -359,48 +384,55 @@ def repeated_ranges(
         i, j = np.minimum(i, len(words) - 1), np.minimum(j, len(source) - 1)
         good = (begins[i] == at) & (places[j] == source_at)
         anchors = list(zip(i[good].tolist(), j[good].tolist(), strict=True))
-        for a, b in _passages(words, source, anchors, min_words, similarity):
-            found.add((a, b, p["source"]))
+        # Anchors of one source place are no chain: each is aligned on its own.
+        alone = len(anchors) > 1 and anchors[0][1] == anchors[-1][1]
+        for chain in [[x] for x in anchors] if alone else [anchors]:
+            for a, b in _passages(words, source, chain, min_words, similarity):
+                found.add((a, b, p["source"]))
     return begins, sorted(found)
 
 
 def _cut_batches(id_type: str):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: dict[str, list] = {k: [] for k in ("doc_id", "n_words", "n_removed", "spans", "kept")}
-            for i in range(batch.num_rows):
-                text = batch.column(1)[i].as_py()
-                pieces = batch.column(2)[i].as_py()
-                if not pieces:
-                    columns["doc_id"].append(batch.column(0)[i].as_py())
-                    columns["n_words"].append(len((text or b"").split()))
-                    columns["n_removed"].append(0)
-                    columns["spans"].append([])
-                    columns["kept"].append(None if text is None else text.decode("utf-8", "replace"))
-                    continue
-                starts, found = repeated_ranges(text or b"", pieces)
-                gone = np.zeros(len(starts) + 1, bool)
-                for a, b, _ in found:
-                    gone[a:b] = True
-                kept = text
-                if found:
-                    begins = [*starts.tolist(), len(text)]
-                    edges = np.flatnonzero(np.diff(np.r_[False, gone].astype(np.int8)))
-                    bounds = [0, *[begins[e] for e in edges], len(text)]
-                    kept = b"".join(text[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True))
-                columns["doc_id"].append(batch.column(0)[i].as_py())
-                columns["n_words"].append(len(starts))
-                columns["n_removed"].append(int(gone.sum()))
-                columns["spans"].append(
-                    [{"first_word": a, "end_word": b, "source": s} for a, b, s in found]
-                )
-                columns["kept"].append(None if kept is None else kept.decode("utf-8", "replace"))
-            ids = batch.column(0).type
-            span = pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("source", ids)])
-            kinds = [ids, pa.int64(), pa.int64(), pa.list_(span), pa.string()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, k) for v, k in zip(columns.values(), kinds, strict=True)], names=list(columns)
+            # Handed on in small parts, so that no batch is held twice.
+            for at in range(0, batch.num_rows, _ROWS):
+                yield cut_part(batch.slice(at, _ROWS))
+
+    def cut_part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns: dict[str, list] = {k: [] for k in ("doc_id", "n_words", "n_removed", "spans", "kept")}
+        for i in range(batch.num_rows):
+            text = batch.column(1)[i].as_py()
+            pieces = batch.column(2)[i].as_py()
+            columns["doc_id"].append(batch.column(0)[i].as_py())
+            if not pieces:
+                columns["n_words"].append(len((text or b"").split()))
+                columns["n_removed"].append(0)
+                columns["spans"].append([])
+                columns["kept"].append(None if text is None else text.decode("utf-8", "replace"))
+                continue
+            starts, found = repeated_ranges(text or b"", pieces)
+            gone = np.zeros(len(starts) + 1, bool)
+            for a, b, _ in found:
+                gone[a:b] = True
+            kept = text
+            if found:
+                begins = [*starts.tolist(), len(text)]
+                edges = np.flatnonzero(np.diff(np.r_[False, gone].astype(np.int8)))
+                bounds = [0, *[begins[e] for e in edges], len(text)]
+                kept = b"".join(text[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True))
+            columns["n_words"].append(len(starts))
+            columns["n_removed"].append(int(gone.sum()))
+            columns["spans"].append(
+                [{"first_word": a, "end_word": b, "source": s} for a, b, s in found]
             )
+            columns["kept"].append(None if kept is None else kept.decode("utf-8", "replace"))
+        ids = batch.column(0).type
+        span = pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("source", ids)])
+        kinds = [ids, pa.int64(), pa.int64(), pa.list_(span), pa.string()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(v, k) for v, k in zip(columns.values(), kinds, strict=True)], names=list(columns)
+        )
 
     schema = (
         f"doc_id {id_type}, n_words long, n_removed long, "
