@@ -4,9 +4,9 @@ Only prefixes of ``LENGTH`` bytes have to be compared, so suffixes are ordered
 to that depth and not further:
 
 1. *Sort sampled tuples.* Samples are the positions that fall on a difference
-   cover D modulo 13. Whatever the places of two equal strings of 50 bytes, some
-   offset below 13 puts both on D, where at least 38 more bytes agree. Each sample
-   is named by a hash of its 38 bytes; names are dealt to buckets and sorted. A
+   cover D modulo 7. Whatever the places of two equal strings of 50 bytes, some
+   offset below 7 puts both on D, where at least 44 more bytes agree. Each sample
+   is named by a hash of its 44 bytes; names are dealt to buckets and sorted. A
    name found in one document only is unique and leaves.
 2. *Recurse on names, merge the remaining suffixes.* What is left are the
    positions within reach of a surviving sample. Their order to 50 bytes needs
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from traceflow.llm.common import store, store_bucketed, utf8
 
 LENGTH = 50
-PERIOD = 13
-COVER = (0, 1, 3, 9)
+PERIOD = 7
+COVER = (0, 1, 3)
 TUPLE = LENGTH - PERIOD + 1
 # Bytes of text in a slab, slabs in a file, and bytes of all text per bucket of names.
 SLAB_BYTES = 2_000_000
