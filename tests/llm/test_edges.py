@@ -355,6 +355,25 @@ def test_chat_round_trip(spark):
     assert chat.conversation_records(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("paths", [None, "paths"])
+def test_chat_long_turn(spark, paths):
+    """One turn above the longest string of the JSON parser."""
+    text = F.concat(F.lit('\\"}],\n'), F.repeat(F.lit("a\n"), 10_500_000))
+    rows = spark.range(1).select(
+        F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), text.alias("text")
+    )
+    made = chat.canonical_turns(chat.conversation_records(rows), paths=paths)
+    got = made.select("layout", F.size("turns"), F.sha2(F.col("turns")[0]["text"], 256)).first()
+    digest = hashlib.sha256(b'\\"}],\n' + b"a\n" * 10_500_000).hexdigest()
+    assert tuple(got) == ("messages", 1, digest)
+
+
+def test_chat_known_source_without_turns(spark):
+    frame = spark.createDataFrame([("{", chat.MESSAGES)], "record string, paths string")
+    with pytest.raises(Exception, match="has no turns"):
+        chat.canonical_turns(frame, paths="paths").collect()
+
+
 def escaped(spark, text):
     return spark.createDataFrame([(text,)], "t string").select(chat.escape(F.col("t"))).first()[0]
 
