@@ -211,6 +211,19 @@ def test_runs_of_one_word(spark):
     assert [found[i][0] for i in (1, 2, 3)] == [0, 135 + 61, 0]
 
 
+def test_exact_passage_whose_seeds_are_older(spark):
+    """Every long seed of a shared passage stands in an earlier document that lacks the passage."""
+    shared = text_of(31, 50).split()
+    rows = [(i, text_of(40 + i, 30) + " " + " ".join(shared[i : i + 40]) + " " + text_of(60 + i, 30)) for i in range(11)]
+    rows += [(i, text_of(80 + i, 70) + " " + " ".join(shared) + " " + text_of(90 + i, 70)) for i in (20, 21, 22)]
+    found = by_id(passages.remove_passages(spark.createDataFrame(rows, "doc_id long, text string")), "n_removed", "spans")
+    assert [found[i][0] for i in (*range(11), 20, 21, 22)] == [0] * 12 + [50, 50]
+    assert all([tuple(s) for s in found[i][1]] == [(70, 120, 20)] for i in (21, 22))
+    rows = [*rows[:-1], (22, text_of(99, 200)), (22, rows[-1][1])]
+    twice = passages.remove_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 22")
+    assert sorted((r["n_words"], r["n_removed"]) for r in twice.collect()) == [(190, 50), (200, 0)]
+
+
 def test_chains_keep_order():
     anchors = [(0, 30, 100, 130), (50, 80, 150, 180), (60, 90, 20, 50), (100, 130, 200, 230), (5000, 5030, 5100, 5130)]
     chains = sorted(passages.chains_of(anchors), key=len)

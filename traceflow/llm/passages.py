@@ -8,6 +8,9 @@
    tree over positions in the earlier document, less a cost per gap.
 4. Chains are aligned word by word; stretches of at least 50 words and 80 %
    equal words are passages. They stay in the earlier document only.
+5. Exact passages do not depend on which document a seed was seen in first: a run
+   of 50 words has a long seed, so the hashes of all windows of 50 words around
+   repeated long seeds are joined with the least doc_id that has them.
 """
 
 from collections.abc import Iterator
@@ -113,7 +116,7 @@ def seeds_of(texts: list[bytes], kinds=SEEDS) -> Iterator[tuple[np.ndarray, ...]
         yield h.view(np.int64), o, begin[chosen] - base, end[chosen + k - 1] - base, first
 
 
-def _seed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _seed_batches(batches: Iterator[pa.RecordBatch], kinds=SEEDS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
         texts, numbers, held = [], [], 0
@@ -122,7 +125,7 @@ def _seed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             numbers.append(i)
             held += len(texts[-1])
             if held >= _SLAB or i + 1 == batch.num_rows:
-                for h, o, a, b, first in seeds_of(texts):
+                for h, o, a, b, first in seeds_of(texts, kinds):
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(h),
@@ -158,6 +161,79 @@ def _anchors(docs: DataFrame) -> DataFrame:
     )
 
 
+def _word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(byte start, hash) of each word."""
+    data = _LOWER[np.frombuffer(b" " + text + b" ", np.uint8)]
+    edges = np.diff(_IS_SPACE[data].astype(np.int8))
+    begin, end = np.flatnonzero(edges == -1) + 1, np.flatnonzero(edges == 1) + 1
+    return begin - 1, _range_hash(data.astype(np.uint64) + np.uint64(1), begin, end)
+
+
+def windows_of(text: bytes, starts: np.ndarray, length: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first word) of the windows of ``length`` words with a long seed at one of the bytes ``starts``."""
+    begins, word = _word_hashes(text)
+    many = len(begins) - length + 1
+    if many <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    seen = np.searchsorted(begins, np.unique(starts))
+    edges = np.zeros(max(len(begins), int(seen.max(initial=0))) + 2, np.int64)
+    np.add.at(edges, np.maximum(seen - (length - SEEDS[-1][0]), 0), 1)
+    np.add.at(edges, seen + 1, -1)
+    at = np.flatnonzero(np.cumsum(edges)[:many] > 0)
+    return _range_hash(word, at, at + length).view(np.int64), at.astype(np.int32)
+
+
+def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            starts = batch.column(2)[i].values.to_numpy()
+            hashed, at = windows_of(batch.column(1)[i].as_py(), starts)
+            ids = batch.column(0).take(pa.array(np.full(len(at), i)))
+            yield pa.RecordBatch.from_arrays([pa.array(hashed), ids, pa.array(at)], names=["window", "doc_id", "at"])
+
+
+def _exact_windows(docs: DataFrame) -> DataFrame:
+    """(_exact_doc, _windows): places of the windows of 50 words that an earlier document has, with the first one."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", utf8("text").alias("text")).where("doc_id is not null and text is not null")
+    seeds = rows.mapInArrow(
+        lambda batches: _seed_batches(batches, SEEDS[-1:]),
+        f"seed long, doc_id {kind}, start int, end int, first boolean",
+    ).select("seed", "doc_id", "start")
+    repeated = seeds.groupBy("seed").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"))
+    repeated = store(repeated.where("_first < _last").select("seed"))
+    marks = store(seeds.join(repeated, "seed").groupBy("doc_id").agg(F.collect_list("start").alias("_starts")))
+    windows = store(
+        rows.join(marks, "doc_id")
+        .select("doc_id", "text", "_starts")
+        .mapInArrow(_window_batches, f"window long, doc_id {kind}, at int")
+    )
+    first = windows.groupBy("window").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("_last"))
+    first = store(first.where("source < _last").drop("_last"))
+    found = windows.join(first, "window").where("doc_id > source")
+    return store(
+        found.groupBy(F.col("doc_id").alias("_exact_doc")).agg(F.collect_list(F.struct("at", "window", "source")).alias("_windows"))
+    )
+
+
+def exact_ranges(text: bytes, windows: pa.StructArray, gone: np.ndarray) -> list[tuple[int, int, int]]:
+    """Passages of repeated windows in a row with one source, but for those of which all words are gone."""
+    _, word = _word_hashes(text)
+    at, hashed = (windows.field(c).to_numpy() for c in (0, 1))
+    # Another row of this doc_id may have a window here that this text does not have.
+    fits = np.flatnonzero(at + MIN_WORDS <= len(word))
+    own = _range_hash(word, at[fits], at[fits] + MIN_WORDS).view(np.int64) == hashed[fits]
+    fits = fits[own]
+    sources = windows.field(2).take(pa.array(fits)).to_pylist()
+    runs: list[list] = []
+    for first, source in sorted(set(zip(at[fits].tolist(), sources, strict=True))):
+        if runs and runs[-1][2] == source and runs[-1][1] - MIN_WORDS + 1 == first:
+            runs[-1][1] += 1
+        else:
+            runs.append([first, first + MIN_WORDS, source])
+    return [(a, b, s) for a, b, s in runs if not gone[a:b].all()]
+
+
 def chains_of(anchors: list[tuple[int, int, int, int]], max_gap: int = MAX_GAP) -> list[list[int]]:
     """Chains (lists of anchor numbers) of the anchors (start, end, source start, source end) of one pair.
 
@@ -403,18 +479,22 @@ def _cut_batches(id_type: str):
         columns: dict[str, list] = {k: [] for k in ("doc_id", "n_words", "n_removed", "spans", "kept")}
         for i in range(batch.num_rows):
             text = batch.column(1)[i].as_py()
-            pieces = batch.column(2)[i].as_py()
+            pieces, windows = batch.column(2)[i].as_py(), batch.column(3)[i].values
             columns["doc_id"].append(batch.column(0)[i].as_py())
-            if not pieces:
+            if not pieces and windows is None:
                 columns["n_words"].append(len((text or b"").split()))
                 columns["n_removed"].append(0)
                 columns["spans"].append([])
                 columns["kept"].append(None if text is None else text.decode("utf-8", "replace"))
                 continue
-            starts, found = repeated_ranges(text or b"", pieces)
+            starts, found = repeated_ranges(text or b"", pieces or [])
             gone = np.zeros(len(starts) + 1, bool)
             for a, b, _ in found:
                 gone[a:b] = True
+            exact = [] if windows is None else exact_ranges(text or b"", windows, gone)
+            for a, b, _ in exact:
+                gone[a:b] = True
+            found = sorted(found + exact)
             kept = text
             if found:
                 begins = [*starts.tolist(), len(text)]
@@ -447,8 +527,8 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     A passage is a stretch of at least 50 words of which 80 % align with words
     of a document with a smaller doc_id; case of A-Z and white space do not
     count. ``spans`` are its word ranges with the earlier document, ``kept`` is
-    the text without them. Each seed is matched with its first occurrence. A
-    null text stays null (no words); rows without a doc_id are kept untouched
+    the text without them. Exact passages are all found; the seeds of others are
+    matched with their first occurrence. A null text stays null (no words); rows without a doc_id are kept untouched
     and are nobody's source. Rows that repeat a doc_id with the same text get
     the same answer. Other columns are ignored.
     """
@@ -481,8 +561,10 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     )
     cut, schema = _cut_batches(kind)
     texts = docs.select("doc_id", utf8("text").alias("_text"))
+    exact = _exact_windows(docs)
     joined = texts.join(per_doc, texts["doc_id"] == per_doc["_doc"], "left")
-    return joined.select("doc_id", "_text", "_pieces").mapInArrow(cut, schema)
+    joined = joined.join(exact, texts["doc_id"] == exact["_exact_doc"], "left")
+    return joined.select("doc_id", "_text", "_pieces", "_windows").mapInArrow(cut, schema)
 
 
 def without_passages(docs: DataFrame) -> DataFrame:
