@@ -5,7 +5,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceflow.llm import chat, contamination, langid, licenses, mixing, passages, simhash, suffixes, vectors, warc
+from traceflow.llm import (
+    chat,
+    contamination,
+    langid,
+    licenses,
+    mixing,
+    negatives,
+    passages,
+    runs,
+    simhash,
+    suffixes,
+    urls,
+    vectors,
+    warc,
+)
 from traceflow.llm.common import new_folder, store
 from traceflow.sources.testtables import table
 
@@ -115,6 +129,35 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
 
+def op11_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf, "pages"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = runs.find_runs(runs.repeat_tail(table(spark, sf, "documents")))
+    # The greatest length, then the smallest start and period.
+    ranked = F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"]))
+    best = F.array_max(ranked)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    length, start, period = [best.getField(k) for k in ("length", "col2", "col3")]
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-start).alias("start"),
+        length.alias("length"),
+        (-period).alias("period"),
+        F.floor(1000 * length / -period).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -129,6 +172,9 @@ def queries() -> dict[str, Query]:
             op8_license_scan,
             op9_language_id,
             op10_simhash,
+            op11_url_filter,
+            op12_hard_negatives,
+            op13_periodic_runs,
         )
     }
 
@@ -236,6 +282,26 @@ WITH d AS (
 SELECT doc_id, size, source_size, target,
   (least(size, greatest(0, goal - start)) + least(size, greatest(0, goal - start - source_size)))::BIGINT AS taken
 FROM queue
+""",
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, p.positive_score, n.vec_id AS negative_id, n.score AS negative_score,
+  row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+  AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+QUALIFY rank <= 3
 """,
 }
 
