@@ -8,7 +8,6 @@ from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     GBTClassifier,
-    LogisticRegression,
     MultilayerPerceptronClassifier,
     NaiveBayes,
 )
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 
 from traceflow.functions.features import model_inputs
 from traceflow.functions.parsing import threshold
+from traceflow.operators import linear
 from traceflow.operators.metrics import binary_metrics, mean_loss
 from traceflow.operators.sampling import downsample
 from traceflow.operators.selection import METRICS
@@ -60,16 +60,14 @@ def fit(
     seed: int = 42,
     previous: Model | None = None,
 ) -> Model:
-    """Fit one classifier on ``vector`` and ``label``.
+    """Fit one classifier on ``vector`` and ``label``; the linear family is in ``linear.fit``.
 
     ``layers`` is the complexity: hidden layers of the perceptron, depth of the
     trees, and for the linear model the inverse of its regularisation. ``width``
     is the length of the vector. A perceptron goes on from ``previous``.
     """
     columns = {"featuresCol": "vector", "labelCol": "label"}
-    if family == "linear":
-        estimator = LogisticRegression(maxIter=iterations, regParam=0.01 / layers, **columns)
-    elif family == "trees":
+    if family == "trees":
         estimator = GBTClassifier(maxIter=iterations, maxDepth=layers, seed=seed, **columns)
     elif family == COUNTS:
         estimator = NaiveBayes(smoothing=1.0, modelType="multinomial", **columns)
@@ -143,6 +141,20 @@ def _fit_epochs(
             yield (cell.family, cell.n, cell.layers, epoch, row["split"], *values)
 
 
+def _linear_log(
+    train: DataFrame, held: DataFrame, cells: Sequence[tuple[int, Cell]], epochs: int, iterations: int
+) -> list[tuple]:
+    """Metric rows of the linear cells of one length: one fit, and one pass over the held rows."""
+    places = {cell.layers: place for place, cell in cells}
+    fitted = linear.fit(train, cells[0][1].n, sorted(places), epochs, iterations)
+    rows = linear.epoch_metrics(fitted, held.withColumn("n", F.lit(cells[0][1].n))).collect()
+    rows.sort(key=lambda r: (places[r["layers"]], r["epoch"], r["split"]))
+    return [
+        (*[r[c] for c in ("model", "n", "layers", "epoch", "split", *METRICS)], places[r["layers"]], r["loss"])
+        for r in rows
+    ]
+
+
 def run_grid(
     labelled: DataFrame,
     cells: Iterable[Cell],
@@ -159,8 +171,9 @@ def run_grid(
     ``labelled`` holds sequences of all lengths with their block. The driver
     only submits fits, ``parallelism`` at a time, and keeps two metric rows per
     fit; features are computed once per length and stay on the executors. With
-    several epochs a perceptron goes on from its last weights; other families
-    are fitted with a budget of iterations that grows with the epoch.
+    several epochs a perceptron and the linear cells go on from their last weights; trees
+    are fitted with a budget of iterations that grows with the epoch. All linear cells of a
+    length share the passes of their fit.
     """
     spark = labelled.sparkSession
     cells = list(cells)
@@ -179,13 +192,17 @@ def run_grid(
         held = inputs.where(F.col("split") != "train")
 
         @inheritable_thread_target(spark)
-        def run(place: int) -> list[tuple]:
+        def run(place: int | None) -> list[tuple]:
+            if place is None:
+                return _linear_log(train, held, straight, epochs, iterations)
             found = _fit_epochs(
                 train, held, cells[place], n * per_step, epochs, iterations, seed
             )
             return [(*row, place, loss) for *row, loss in found]
 
-        places = [i for i, cell in enumerate(cells) if cell.n == n]
+        own = [(i, cell) for i, cell in enumerate(cells) if cell.n == n]
+        straight = [(i, cell) for i, cell in own if cell.family == linear.NAME]
+        places = [None] * bool(straight) + [i for i, cell in own if cell.family != linear.NAME]
         try:
             train.count()
             with ThreadPool(min(parallelism, len(places))) as pool:
@@ -222,9 +239,16 @@ def fit_and_predict(
         train = inputs.where(F.col("split") == "train")
         if balance:
             train = downsample(train, "label", ["student_id", "chunk"], seed)
-        model = fit(train, family, layers, width=(3 if with_kc else 2) * n, iterations=iterations, seed=seed)
+        if family == linear.NAME:
+            model = linear.fit(train, n, (layers,), steps=iterations)
+        else:
+            model = fit(train, family, layers, width=(3 if with_kc else 2) * n, iterations=iterations, seed=seed)
         # Kept apart from the cache, which goes when this function ends.
         held = checkpoint(inputs.where(F.col("split").isin(*splits)).drop("split"))
     finally:
         inputs.unpersist()
+    if family == linear.NAME:
+        return linear.score(model, held.withColumn("n", F.lit(n))).select(
+            "student_id", "chunk", "label", "conf", "pred"
+        )
     return predict(model, held)

@@ -22,6 +22,7 @@ from traceflow.functions.parsing import (
 from traceflow.functions.text import strip
 from traceflow.operators import (
     history,
+    linear,
     lookups,
     metrics,
     models,
@@ -469,7 +470,29 @@ def batch_scored_exact(spark: SparkSession, sf: str) -> DataFrame:
 
 def model_predictions(spark: SparkSession, sf: str) -> DataFrame:
     scored = models.fit_and_predict(_sequences(spark, sf, 5, labelled=True), 5)
-    return scored.select("student_id", "chunk", "label", "pred", "conf")
+    return scored.select("student_id", "chunk", "label", "pred", F.round("conf", 8).alias("conf"))
+
+
+def _linear_inputs(spark: SparkSession, sf: str, n: int) -> DataFrame:
+    rows = _sequences(spark, sf, n, labelled=True).withColumn("split", splits.split_name(1))
+    return checkpoint(model_inputs(rows, n).select("n", "split", "label", "vector"))
+
+
+def linear_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """Bias and weights of two configurations after each of three epochs, with their training loss."""
+    train = _linear_inputs(spark, sf, 5).where("split = 'train'")
+    fitted = linear.fit(train, 5, (1, 5), epochs=3, steps=8)
+    numbers = F.posexplode(F.concat(F.array("bias"), "weights")).alias("j", "weight")
+    return fitted.select("model", "n", "layers", "epoch", F.round("train_loss", 8).alias("train_loss"), numbers).withColumn(
+        "weight", F.round("weight", 8)
+    )
+
+
+def linear_epochs(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics and loss of each epoch on validation and hold-out students."""
+    inputs = _linear_inputs(spark, sf, 10)
+    fitted = linear.fit(inputs.where("split = 'train'"), 10, (1, 2), epochs=3, steps=8)
+    return linear.epoch_metrics(fitted, inputs.where("split <> 'train'")).withColumn("loss", F.round("loss", 8))
 
 
 def counts_predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -656,6 +679,8 @@ def queries() -> dict[str, Query]:
         "batch_scored_metrics": batch_scored_metrics,
         "batch_scored_exact": batch_scored_exact,
         "model_predictions": model_predictions,
+        "linear_weights": linear_weights,
+        "linear_epochs": linear_epochs,
         "counts_predictions": counts_predictions,
         "sequences_rough": sequences_rough,
         "sequences_question_order": sequences_question_order,

@@ -506,6 +506,114 @@ SELECT student_id, chunk, CAST(label AS INTEGER) AS label, CAST(conf >= 0.5 AS I
 FROM scored JOIN inputs USING (student_id, chunk) WHERE block IN ('0', 'test')"""
 
 
+def _linear(n: int, layers: tuple[int, ...], epochs: int, steps: int) -> str:
+    """Weights of every step by recursion, then ``models(layers, epoch, bias, weights, train_loss)``."""
+    width = 2 * n
+    sums = ", ".join(f"sum(many * off * x[{j}])" for j in range(1, width + 1))
+    cells = ", ".join(f"({k})" for k in layers)
+    return f""", inputs AS (
+    SELECT student_id, chunk, CASE WHEN block = '0' THEN 'val' WHEN block = 'test' THEN 'test' ELSE 'train' END AS split,
+           answers[{n}] AS label,
+           flatten(list_transform(range(1, {n + 1}), lambda i: [difficulties[i]::DOUBLE,
+               CASE WHEN i < {n} THEN answers[i] ELSE 0 END::DOUBLE])) AS x
+    FROM labelled),
+counted AS (SELECT x, label, count(*)::DOUBLE AS many FROM inputs WHERE split = 'train' GROUP BY ALL),
+moments AS (
+    SELECT j, sum(many * x[j]) / sum(many) AS mean,
+           sqrt(greatest(sum(many * x[j] * x[j]) / sum(many) - (sum(many * x[j]) / sum(many)) ** 2, 0)) AS deviation
+    FROM counted, range(1, {width + 1}) t(j) GROUP BY j),
+units AS (
+    SELECT list(mean ORDER BY j) AS mean,
+           list(CASE WHEN deviation < 1e-8 THEN 1.0::DOUBLE ELSE deviation END ORDER BY j) AS scale FROM moments),
+train AS MATERIALIZED (
+    SELECT list_transform(range(1, {width + 1}), lambda j: (x[j] - mean[j]) / scale[j]) AS x, label, many,
+           sum(many) OVER () AS total
+    FROM counted, units),
+steps AS (
+    SELECT 0 AS t, layers, list_transform(range({width + 1}), lambda j: 0.0::DOUBLE) AS w,
+           list_transform(range({width + 1}), lambda j: 0.0::DOUBLE) AS m,
+           list_transform(range({width + 1}), lambda j: 0.0::DOUBLE) AS v, NULL::DOUBLE AS loss
+    FROM (VALUES {cells}) cells(layers)
+    UNION ALL
+    SELECT t + 1, layers,
+           list_transform(range(1, {width + 2}), lambda j: w[j] - 0.1::DOUBLE * (m2[j] / (1 - 0.9::DOUBLE ** (t + 1)))
+               / (sqrt(v2[j] / (1 - 0.999::DOUBLE ** (t + 1))) + 1e-8)),
+           m2, v2, loss
+    FROM (
+        SELECT *, list_transform(range(1, {width + 2}), lambda j: 0.9::DOUBLE * m[j] + (1 - 0.9::DOUBLE) * g[j]) AS m2,
+               list_transform(range(1, {width + 2}), lambda j: 0.999::DOUBLE * v[j] + (1 - 0.999::DOUBLE) * g[j] * g[j]) AS v2
+        FROM (
+            SELECT t, layers, w, m, v, loss, list_transform(range(1, {width + 2}), lambda j:
+                       slopes[j] + CASE WHEN j = 1 THEN 0 ELSE 0.01::DOUBLE / layers * w[j] END) AS g
+            FROM (
+                SELECT t, layers, w, m, v, sum(many * (greatest(z, 0) + ln(1 + exp(-abs(z))) - label * z)) / any_value(total) AS loss,
+                       list_transform([sum(many * off), {sums}], lambda s: s / any_value(total)) AS slopes
+                FROM (
+                    SELECT *, 1 / (1 + exp(-z)) - label AS off
+                    FROM (SELECT steps.*, x, label, many, total, w[1] + list_dot_product(w[2:], x) AS z FROM steps, train
+                          WHERE t < {epochs * steps}))
+                GROUP BY t, layers, w, m, v)))),
+models AS (
+    SELECT layers, (e.t // {steps} - 1)::INTEGER AS epoch,
+           w[1] - list_dot_product(list_transform(range(1, {width + 1}), lambda j: w[j + 1] / scale[j]), mean) AS bias,
+           list_transform(range(1, {width + 1}), lambda j: w[j + 1] / scale[j]) AS weights,
+           (SELECT avg(s.loss) FROM steps s WHERE s.layers = e.layers AND s.t > e.t - {steps} AND s.t <= e.t) AS train_loss
+    FROM steps e, units WHERE e.t > 0 AND e.t % {steps} = 0),
+scored AS (
+    SELECT *, 1 / (1 + exp(-(bias + list_dot_product(weights, x)))) AS conf FROM inputs, models WHERE split <> 'train'),
+pairs AS (SELECT *, CAST(conf >= 0.5 AS INTEGER) AS pred FROM scored)
+"""
+
+
+def _linear_oracles() -> dict[str, str]:
+    def base(n: int) -> str:
+        return _base(n, labelled=True).replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+
+    once = base(5) + _linear(5, (1,), 1, 20)
+    predicted = """SELECT student_id, chunk, CAST(label AS INTEGER) AS label, pred, round(conf, 8) AS conf
+        FROM pairs WHERE split = 'test'"""
+    by = "layers, epoch, split"
+    loss = f"SELECT {by}, round(avg(-(label * ln(conf) + (1 - label) * ln(1 - conf))), 8) AS loss FROM pairs GROUP BY {by}"
+    return {
+        "model_predictions": once + predicted,
+        "linear_weights": base(5)
+        + _linear(5, (1, 5), 3, 8)
+        + """SELECT 'linear' AS model, 5 AS n, layers, epoch, j::INTEGER AS j,
+            round(CASE WHEN j = 0 THEN bias ELSE weights[j] END, 8) AS weight, round(train_loss, 8) AS train_loss
+            FROM models, range(0, 11) t(j)""",
+        "linear_epochs": base(10)
+        + _linear(10, (1, 2), 3, 8)
+        + f"SELECT 'linear' AS model, 10 AS n, * FROM ({_metrics(by, f'GROUP BY {by}')}) JOIN ({loss}) USING ({by})",
+    }
+
+
+def _file_oracles() -> dict[str, str]:
+    """What must come back from files."""
+    spread = "'say \"' || {0} || '\",' || chr(10) || {0}"
+    topic = spread.format("s_name")
+    lines = """array_to_string(list_transform(range(1, 6), lambda i: 'Difficulty: ' || difficulties[i] || ' -> Answer: '
+        || CASE WHEN answers[i] = 1 THEN 'CORRECT' ELSE 'WRONG' END), ' ||| ')"""
+    return {
+        "documents_from_csv": "SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents",
+        "attempts_from_csv": _with(ATTEMPTS)
+        + """SELECT student_id, question_id, answer, hint, epoch_us(start_time) AS start_time, seq FROM attempts""",
+        "questions_from_csv": "SELECT p_partkey AS id, CAST(p_size % 3 + 1 AS INTEGER) AS difficulty, "
+        f"{spread.format('p_name')} AS question_rich_text FROM part",
+        "kcs_from_csv": f"SELECT s_suppkey AS id, s_name AS name, {topic} AS description FROM supplier",
+        "question_kc_from_csv": "SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS question_id, "
+        "l_suppkey AS knowledgecomponent_id FROM lineitem",
+        "kc_link_from_csv": f"SELECT l_partkey AS question_id, s_suppkey AS kc_id, s_name AS name, {topic} AS description "
+        "FROM lineitem JOIN supplier ON s_suppkey = l_suppkey",
+        "sequence_files": _base(5) + f"SELECT student_id, CAST(n AS INTEGER) AS n, {JOINED} FROM seqs",
+        "sequences_of_fold": _base(5, labelled=True)
+        + f"SELECT student_id, chunk, {_joined('answers')}, 5 AS n, 'val' AS split, 2 AS fold FROM labelled WHERE block = '1'",
+        "metrics_files": _with(RUN_LOG)
+        + """SELECT model, n, layers, epoch, acc, bal_acc, f1_0, f1_1, sup_0, sup_1, auc, split FROM log WHERE bal_acc > 0
+QUALIFY row_number() OVER (PARTITION BY model, n, layers, split ORDER BY bal_acc DESC, epoch) = 1""",
+        "training_text_file": _base(5) + f"SELECT {lines} AS line, count(*) AS times FROM seqs GROUP BY ALL",
+    }
+
+
 def _edge_oracles() -> dict[str, str]:
     """Queries on data in which the rare rules apply."""
     rough = """rough AS (
@@ -565,4 +673,11 @@ log AS (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**_sequence_oracles(), **_prompt_oracles(), **_table_oracles(), **_edge_oracles()}
+    return {
+        **_sequence_oracles(),
+        **_prompt_oracles(),
+        **_table_oracles(),
+        **_edge_oracles(),
+        **_linear_oracles(),
+        **_file_oracles(),
+    }

@@ -6,13 +6,14 @@ from pyspark.sql import types as T
 
 from traceflow.functions.parsing import flag
 from traceflow.schemas import KC_LINK, KCS, QUESTION_KC, QUESTIONS, SEQUENCE_FILE, SEQUENCE_KEY
+from traceflow.sources.ranges import read_json_array, read_quoted_csv
 
 
 def _csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
     # All columns as text; the ones in use are picked by name and cast.
-    return spark.read.csv(
-        path, header=True, multiLine=multi_line, escape='"', inferSchema=False
-    )
+    if multi_line:
+        return read_quoted_csv(spark, path)
+    return spark.read.csv(path, header=True, escape='"', inferSchema=False)
 
 
 def _typed(raw: DataFrame, schema: T.StructType) -> DataFrame:
@@ -30,8 +31,8 @@ def read_attempts(
     ``seq`` names the tie-break column of the file. Without one, a hash of the
     used columns takes its place: it only leaves exact copies tied, and copies
     are interchangeable. Other columns of the file are never parsed. Set
-    ``multi_line`` only for files with line breaks inside fields, as such files
-    cannot be read in parallel.
+    ``multi_line`` for files with line breaks inside fields: they are read by many tasks too,
+    but twice.
     """
     return parse_attempts(_csv(spark, path, multi_line), seq)
 
@@ -85,12 +86,11 @@ def read_sequence_file(spark: SparkSession, path: str) -> DataFrame:
     """A file that is one JSON array of sequence records; NaN becomes NULL.
 
     ``chunk`` is the place of the record, as the file has no other key, and
-    ``n`` the number of its answers. Such a file is one unit of work. Use
-    ``read_sequences`` for data at scale.
+    ``n`` the number of its answers. Byte ranges of the file are read in parallel, however they are cut.
     """
-    return parse_sequences(spark.read.schema(SEQUENCE_FILE).json(path, multiLine=True)).withColumn(
-        "chunk", F.monotonically_increasing_id()
-    ).select(*SEQUENCE_KEY, "question_ids", "answers", "difficulties", "hint_used")
+    return parse_sequences(read_json_array(spark, path, SEQUENCE_FILE, position="chunk")).select(
+        *SEQUENCE_KEY, "question_ids", "answers", "difficulties", "hint_used"
+    )
 
 
 def parse_sequences(raw: DataFrame) -> DataFrame:
