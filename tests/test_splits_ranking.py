@@ -58,7 +58,7 @@ def test_attach_split(spark):
     assert found.count() == 80 and "block" in found.columns
 
 
-@pytest.mark.parametrize("digits", [1, 3])
+@pytest.mark.parametrize("digits", [1, 3, (1, 1), (2, 3), (1, 1, 1)])
 def test_hash_positions(spark, digits):
     rows = spark.range(500).withColumn("weight", F.col("id") % 4)
     expected = sorted(range(500), key=lambda i: (hashlib.md5(f"7:{i}".encode()).hexdigest(), i))
@@ -74,6 +74,37 @@ def test_hash_positions(spark, digits):
         running += i % 4
 
 
+def test_levels_follow_the_rows():
+    assert ranking.levels_for(0) == ranking.levels_for(10**9) == (3,)
+    assert ranking.levels_for(10**12) == (2, 3)
+    assert ranking.levels_for(10**15) == (2, 3, 3)
+    assert ranking.levels_for(5000, bucket_rows=1) == (1, 3)
+
+
+def test_planned_rows_are_a_guess_from_above(spark, tmp_path):
+    spark.range(1000).write.parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t"))
+    assert 0 < ranking.planned_rows(read) < 10**6
+    assert ranking.planned_rows(read.join(read.withColumn("k", F.lit(1)), "id")) < 10**6
+
+
+def test_no_window_of_buckets_outgrows_a_level(spark):
+    totals = spark.range(16**4).select(F.lpad(F.lower(F.hex("id")), 4, "0").alias("_bucket"), F.col("id").alias("_amount"))
+    placed = ranking.running_totals(totals, (1, 1, 2))
+    wrong = placed.withColumn("id", F.conv("_bucket", 16, 10).cast("long")).where("_offset <> id * (id - 1) / 2")
+    assert wrong.count() == 0 and placed.count() == 16**4
+    assert placed.select("_total").distinct().collect() == [(16**4 * (16**4 - 1) // 2,)]
+
+
+@pytest.mark.parametrize("bucket_rows", [1, 10])
+def test_downsample_counts_a_full_bucket_again(spark, bucket_rows):
+    rows = spark.range(600).withColumn("y", (F.col("id") % 4 > 0).cast("int"))
+    found = sampling.downsample(rows, "y", ["id"], seed=5, digits=1, bucket_rows=bucket_rows)
+    ones = [i for i in range(600) if i % 4]
+    ones.sort(key=lambda i: (hashlib.md5(f"5:{i}".encode()).hexdigest(), i))
+    assert sorted(r["id"] for r in found.where("y = 1").collect()) == sorted(ones[:150])
+
+
 def test_ordered_positions(spark):
     rows = spark.range(3000).select(((F.col("id") * 7919) % 3000).alias("id"))
     found = ranking.ordered_positions(rows, [F.col("id").desc()])

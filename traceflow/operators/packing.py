@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceflow.functions.text import piece_count, pieces
-from traceflow.operators.ranking import HASH_DIGITS, hash_positions
+from traceflow.operators.ranking import hash_positions
 
 
 def pack_blocks(
@@ -17,14 +17,14 @@ def pack_blocks(
     seed: int = 1,
     tokenize=pieces,
     count=piece_count,
-    digits: int = HASH_DIGITS,
+    digits: int | Sequence[int] | None = None,
 ) -> DataFrame:
     """``block, tokens``: consecutive blocks of the texts in seeded hash order.
 
     Tokens left over after the last full block are dropped. Prefix sums of the
     token counts place each text in the stream; a text is then cut at the block
     borders, so whole slices are moved instead of single tokens. Only keys and
-    counts are ranked, in ``16 ** digits`` buckets; ``keys`` must identify a text.
+    counts are ranked, as ``hash_positions`` has it; ``keys`` must identify a text.
     """
     named = texts.select(*keys, F.col(text).alias("_text"))
     counts = named.select(*keys, count("_text").alias("_count"))

@@ -2,10 +2,10 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceflow.operators.ranking import HASH_DIGITS, hash_order
+from traceflow.operators.ranking import BUCKET_ROWS, HASH_DIGITS, hash_order
 
 
 def downsample(
@@ -14,42 +14,44 @@ def downsample(
     keys: Sequence[str],
     seed: int = 42,
     digits: int = HASH_DIGITS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Keep at most as many rows of label 1 as there are of label 0.
 
     The kept rows are the first in seeded hash order; rows of other labels are
-    dropped. Bucket counts tell in which hash bucket the quota ends, so only
-    that one bucket has to be ranked and no other row moves. The input is read
-    three times, so persist it if it is costly to compute.
+    dropped. Counts per hash bucket tell in which bucket the quota ends; while that one has more than
+    ``bucket_rows`` rows of label 1, it alone is counted again by further digits. Only the last
+    bucket is ranked, and no other row moves. The input is read once per count and twice more, so persist it if it
+    is costly to compute.
     """
-    y, bucket = F.col(label), F.col("_bucket")
-    hashed = (
-        rows.where(y.isin(0, 1))
-        .withColumn("_hash", hash_order(seed, *keys))
-        .withColumn("_bucket", F.substring("_hash", 1, digits))
-    )
-    # At most 16 ** digits rows, of which one comes to the driver.
-    everything = Window.orderBy("_bucket")
-    earlier = everything.rowsBetween(Window.unboundedPreceding, -1)
-    both = everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    taken = F.coalesce(F.sum("_ones").over(earlier), F.lit(0))
-    edge = (
-        hashed.groupBy("_bucket")
-        .agg(F.count_if(y == 0).alias("_zeros"), F.count_if(y == 1).alias("_ones"))
-        .select("_bucket", "_ones", (F.sum("_zeros").over(both) - taken).alias("_room"))
-        .where(F.col("_ones") > F.col("_room"))
-        .orderBy("_bucket")
-        .first()
-    )
-    if edge is None:
-        return rows.where(y.isin(0, 1))
-    whole = hashed.where((y == 0) | (bucket < edge["_bucket"]))
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", *keys))
-    last = (
-        hashed.where((y == 1) & (bucket == edge["_bucket"]))
-        .withColumn("_rank", rank)
-        .where(F.col("_rank") <= edge["_room"])
-    )
+    y, taken_prefix = F.col(label), ""
+    hashed = rows.where(y.isin(0, 1)).withColumn("_hash", hash_order(seed, *keys))
+    room = None
+    while True:
+        bucket = F.substring("_hash", 1, len(taken_prefix) + digits)
+        inside = F.startswith("_hash", F.lit(taken_prefix)) | F.lit(room is None)
+        counts = (
+            hashed.where(inside & ((y == 1) | F.lit(room is None)))
+            .groupBy(bucket.alias("_bucket"))
+            .agg(F.count_if(y == 0).alias("zeros"), F.count_if(y == 1).alias("ones"))
+            .collect()
+        )
+        if room is None:
+            room = sum(r["zeros"] for r in counts)
+        edge = None
+        for r in sorted(counts, key=lambda r: r["_bucket"]):
+            if r["ones"] > room:
+                edge = r
+                break
+            room -= r["ones"]
+        if edge is None:
+            return rows.where(y.isin(0, 1))
+        taken_prefix = edge["_bucket"]
+        if edge["ones"] <= bucket_rows or len(taken_prefix) >= 32:
+            break
+    bucket = F.substring("_hash", 1, len(taken_prefix))
+    whole = hashed.where((y == 0) | (bucket < taken_prefix))
+    last = hashed.where((y == 1) & (bucket == taken_prefix)).orderBy("_hash", *keys).limit(room)
     return whole.select(*rows.columns).unionByName(last.select(*rows.columns))
 
 

@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from traceflow.operators.cuts import cut
 from traceflow.operators.ranking import ordered_positions
 
 # Up to here a slice is a top-k; beyond it positions come from a range sort.
@@ -22,9 +23,11 @@ def position_slice(
 ) -> DataFrame:
     """Rows at positions ``start .. stop - 1`` in the given order, with ``pos``.
 
-    Rows with equal keys are ordered by their other columns, so both paths agree.
+    Rows with equal keys are ordered by their other columns, so both paths agree. Beyond
+    ``top_rows`` the two ends are found by ``cut``, and only the rows between them are sorted and written.
     """
-    keys = [F.col(c) for c in _total_order(rows, order)]
+    names = _total_order(rows, order)
+    keys = [F.col(c) for c in names]
     if stop <= top_rows:
         numbered = (
             rows.orderBy(*keys)
@@ -32,7 +35,9 @@ def position_slice(
             .withColumn("pos", F.row_number().over(Window.orderBy(*keys)).cast("long") - 1)
         )
     else:
-        numbered = ordered_positions(rows, [k.asc() for k in keys])
+        first, last = cut(rows, names, start, max(1, top_rows)), cut(rows, names, stop, max(1, top_rows))
+        between = rows.where(~first.before & (last.before | last.doubt))
+        numbered = ordered_positions(between, [k.asc() for k in keys]).withColumn("pos", F.col("pos") + first.n_before)
     return numbered.where((F.col("pos") >= start) & (F.col("pos") < stop))
 
 
@@ -50,14 +55,19 @@ def leading_slice(
     """
     if count is None:
         return rows
-    if count >= 0:
+    if count < 0:
+        if not compat:
+            raise ValueError("a negative count needs compat=True")
+        count = max(0, rows.count() + count)
+    if count <= top_rows:
         return position_slice(rows, order, 0, count, top_rows).drop("pos")
-    if not compat:
-        raise ValueError("a negative count needs compat=True")
-    placed = ordered_positions(rows, [F.col(c).asc() for c in _total_order(rows, order)])
-    total = placed.agg(F.count(F.lit(1)).alias("_total"))
-    return (
-        placed.crossJoin(F.broadcast(total))
-        .where(F.col("pos") < F.col("_total") + count)
-        .drop("pos", "_total")
-    )
+    # No position is asked for, so only the rows in doubt are sorted.
+    names = _total_order(rows, order)
+    end = cut(rows, names, count, max(1, top_rows))
+    doubt = rows.where(end.doubt)
+    if end.n_doubt <= top_rows:
+        doubt = doubt.orderBy(*names).limit(count - end.n_before)
+    else:
+        placed = ordered_positions(doubt, [F.col(c).asc() for c in names])
+        doubt = placed.where(F.col("pos") < count - end.n_before).drop("pos")
+    return rows.where(end.before).unionByName(doubt)
