@@ -192,10 +192,11 @@ class CrossParser:
         costs *= np.array(self._weight)
         return costs / np.maximum(sizes, 1)[:, None], letters
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Language, score and whether there is a letter, for each text."""
         costs, letters = self.costs(texts)
         if not self.languages:
-            return ["und"] * len(texts), [0.0] * len(texts)
+            return ["und"] * len(texts), [0.0] * len(texts), letters.tolist()
         best = costs.argmin(axis=1)
         least = costs[np.arange(len(texts)), best]
         if len(self.languages) > 1:
@@ -205,51 +206,65 @@ class CrossParser:
         with np.errstate(invalid="ignore", divide="ignore"):
             score = np.where(second > 0, 1.0 - least / second, 0.0)
         names = [self.languages[b] if ok else "und" for b, ok in zip(best, letters, strict=True)]
-        return names, np.where(letters, score, 0.0).tolist()
+        return names, np.where(letters, score, 0.0).tolist(), letters.tolist()
 
 
 _built: dict[int, CrossParser] = {}
 
 
-def identify(docs: DataFrame, samples: dict[str, list[str]] | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, lang_pred, score.
-
-    ``samples`` default to those of ``training_sample(docs)``; predictions see
-    the whole text and nothing else. ``und`` (score 0) stands for a null text, a
-    text without a letter, or a corpus without labels. ``score`` is one minus
-    the ratio of the least to the second least cost, 1.0 if only one language
-    was learned. Equal costs go to the language first in order. Texts longer
-    than a stretch are parsed in stretches, all of which count. Repeated rows
-    are answered row by row and other columns are ignored.
-    """
+def _parsed(docs: DataFrame, samples: dict[str, list[str]] | None, columns: list[str], text: str, schema: str) -> DataFrame:
+    """``columns`` of ``docs`` with lang_pred, score and letters (whether the text has one) of column ``text``."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(training_sample(docs) if samples is None else samples)
     # Known to the driver only; tells a reused worker that its parser is of another model.
     number = model._jbroadcast.id()
+    place = columns.index(text)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if number not in _built:
             _built.clear()
             _built[number] = CrossParser(model.value)
         for batch in batches:
-            names, scores = _built[number].predict(batch.column(2).to_pylist())
+            names, scores, letters = _built[number].predict(batch.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                names=["doc_id", "held_out", "lang_pred", "score"],
+                [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(letters, pa.bool_())],
+                names=[*batch.schema.names, "lang_pred", "score", "letters"],
             )
 
+    return docs.select(*columns).mapInArrow(parse, f"{schema}, lang_pred string, score double, letters boolean")
+
+
+def identify(docs: DataFrame, samples: dict[str, list[str]] | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, held_out, lang_pred, score.
+
+    ``samples`` default to those of ``training_sample(docs)``; predictions see
+    the whole text and nothing else. ``und`` (score 0) stands for a null text, a
+    text without a letter, or a corpus without labels. ``score`` is one minus
+    the ratio of the least to the second least cost, 1.0 if only one language
+    was learned. Equal costs go to the language first in order. Texts longer
+    than a stretch are parsed in stretches, all of which count. Repeated rows
+    are answered row by row and other columns are ignored.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    learned = training_sample(docs) if samples is None else samples
     rows = docs.select("doc_id", is_held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(parse, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    found = _parsed(
+        rows, learned, ["doc_id", "held_out", "text"], "text", f"doc_id {kind}, held_out boolean, text string"
+    )
+    return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose language is ``und``; columns stay as they are.
+    """``docs`` without the rows whose language cannot be told; columns stay as they are.
 
-    Only a null text or one without a letter is rejected, so the decision needs
-    no join: a text without a letter has no letter in any language.
+    A row goes if its own text is null or has no letter, in no language and whatever its doc_id is. Rows stay
+    when there are no labels to learn from. Decisions are made row by row, so repeated ids
+    and rows do not touch each other; an empty table stays empty.
     """
-    found = identify(docs)
-    rejected = found.where("lang_pred = 'und' and doc_id is not null").select("doc_id").distinct()
-    kept = docs.join(rejected, "doc_id", "left_anti")
-    return kept
+    learned = training_sample(docs)
+    # Under names that no column of the table can clash with; the rest of the row goes along.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    found = _parsed(rows, learned, ["row", "text"], "text", f"row {kind}, text string")
+    identified = (F.col("lang_pred") != "und") | F.col("letters")
+    return found.where(identified).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

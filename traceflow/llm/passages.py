@@ -476,16 +476,17 @@ def _cut_batches(id_type: str):
                 yield cut_part(batch.slice(at, _ROWS))
 
     def cut_part(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns: dict[str, list] = {k: [] for k in ("doc_id", "n_words", "n_removed", "spans", "kept")}
+        columns: dict[str, list] = {k: [] for k in ("doc_id", "digest", "n_words", "n_removed", "spans", "kept")}
         for i in range(batch.num_rows):
             text = batch.column(1)[i].as_py()
             pieces, windows = batch.column(2)[i].as_py(), batch.column(3)[i].values
             columns["doc_id"].append(batch.column(0)[i].as_py())
+            columns["digest"].append(batch.column(4)[i].as_py())
             if not pieces and windows is None:
                 columns["n_words"].append(len((text or b"").split()))
                 columns["n_removed"].append(0)
                 columns["spans"].append([])
-                columns["kept"].append(None if text is None else text.decode("utf-8", "replace"))
+                columns["kept"].append(text)
                 continue
             starts, found = repeated_ranges(text or b"", pieces or [])
             gone = np.zeros(len(starts) + 1, bool)
@@ -506,17 +507,17 @@ def _cut_batches(id_type: str):
             columns["spans"].append(
                 [{"first_word": a, "end_word": b, "source": s} for a, b, s in found]
             )
-            columns["kept"].append(None if kept is None else kept.decode("utf-8", "replace"))
+            columns["kept"].append(kept)
         ids = batch.column(0).type
         span = pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("source", ids)])
-        kinds = [ids, pa.int64(), pa.int64(), pa.list_(span), pa.string()]
+        kinds = [ids, pa.int64(), pa.int64(), pa.int64(), pa.list_(span), pa.binary()]
         return pa.RecordBatch.from_arrays(
             [pa.array(v, k) for v, k in zip(columns.values(), kinds, strict=True)], names=list(columns)
         )
 
     schema = (
-        f"doc_id {id_type}, n_words long, n_removed long, "
-        f"spans array<struct<first_word:bigint,end_word:bigint,source:{id_type}>>, kept string"
+        f"doc_id {id_type}, digest long, n_words long, n_removed long, "
+        f"spans array<struct<first_word:bigint,end_word:bigint,source:{id_type}>>, kept binary"
     )
     return cut, schema
 
@@ -532,6 +533,11 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     and are nobody's source. Rows that repeat a doc_id with the same text get
     the same answer. Other columns are ignored.
     """
+    return _removed(docs).drop("digest").withColumn("kept", F.col("kept").cast("string"))
+
+
+def _removed(docs: DataFrame) -> DataFrame:
+    """``remove_passages`` with ``kept`` as bytes and the digest of each text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     sorted_anchors = _anchors(docs).repartition("doc_id", "source").sortWithinPartitions(
         "doc_id", "source", "start", "source_start"
@@ -560,26 +566,32 @@ def remove_passages(docs: DataFrame) -> DataFrame:
         F.collect_list(F.struct("source", "at", "source_at", "piece_from", "piece", "piece_is_last")).alias("_pieces")
     )
     cut, schema = _cut_batches(kind)
-    texts = docs.select("doc_id", utf8("text").alias("_text"))
+    texts = docs.select("doc_id", utf8("text").alias("_text"), F.xxhash64(utf8("text")).alias("_digest"))
     exact = _exact_windows(docs)
     joined = texts.join(per_doc, texts["doc_id"] == per_doc["_doc"], "left")
     joined = joined.join(exact, texts["doc_id"] == exact["_exact_doc"], "left")
-    return joined.select("doc_id", "_text", "_pieces", "_windows").mapInArrow(cut, schema)
+    return joined.select("doc_id", "_text", "_pieces", "_windows", "_digest").mapInArrow(cut, schema)
 
 
 def without_passages(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut from ``text``; a document of which no word is left goes.
 
     ``n_chars``, where it is a column, is counted anew for changed texts. Rows
-    that lose nothing stay exactly as they are.
+    that lose nothing stay exactly as they are. A repeated doc_id with another text is cut by
+    what was found in that text.
     """
-    changed = remove_passages(docs).where("n_removed > 0 and doc_id is not null")
-    changed = store(changed.select("doc_id", "n_words", "n_removed", "kept").dropDuplicates(["doc_id"]))
+    found = _removed(docs).where("n_removed > 0 and doc_id is not null")
+    found = found.select("doc_id", "digest", "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
+    changed = store(found.dropDuplicates(["doc_id", "digest"]))
     plan = changed.select(
-        F.col("doc_id").alias("_doc"), F.col("kept").alias("_kept"), (F.col("n_words") == F.col("n_removed")).alias("_gone")
+        F.col("doc_id").alias("_doc"),
+        F.col("digest").alias("_digest"),
+        F.col("kept").alias("_kept"),
+        (F.col("n_words") == F.col("n_removed")).alias("_gone"),
     )
-    rows = docs.select("doc_id", F.struct(*docs.columns).alias("_row"))
-    joined = rows.join(plan, F.col("doc_id") == F.col("_doc"), "left").where("_gone is null or not _gone")
+    rows = docs.select("doc_id", F.xxhash64(utf8("text")).alias("_own"), F.struct(*docs.columns).alias("_row"))
+    same = (F.col("doc_id") == F.col("_doc")) & (F.col("_own") == F.col("_digest"))
+    joined = rows.join(plan, same, "left").where("_gone is null or not _gone")
     text = F.coalesce("_kept", F.col("_row.text"))
     columns = []
     for name in docs.columns:

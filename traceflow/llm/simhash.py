@@ -68,6 +68,14 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         )
 
 
+def _marked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        marks = [_signed(fingerprint(text.as_py())) for text in batch.column(2)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(marks, pa.int64())], names=["doc_id", "digest", "mark"]
+        )
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, mark): the SimHash of every row's whole text as a signed long."""
     rows = docs.select("doc_id", utf8("text").alias("text"))
@@ -117,6 +125,14 @@ def fingerprint_links(nodes: DataFrame, pair_bucket: int = PAIR_BUCKET) -> DataF
     return pairs.union(stars.where("u <> v"))
 
 
+def _classes(marks: DataFrame, pair_bucket: int) -> DataFrame:
+    """(mark, component_id) of marked rows (doc_id, mark)."""
+    nodes = store(marks.groupBy("mark").agg(F.min("doc_id").alias("id")))
+    links = fingerprint_links(nodes.where("id is not null"), pair_bucket)
+    found = components(links).select(F.col("node").alias("id"), "component")
+    return nodes.join(found, "id", "left").select("mark", F.coalesce("component", "id").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint, component_id.
 
@@ -127,28 +143,42 @@ def near_duplicates(docs: DataFrame, pair_bucket: int = PAIR_BUCKET) -> DataFram
     empty table gives no rows. Other columns are ignored.
     """
     marks = store(fingerprints(docs))
-    nodes = store(marks.groupBy("mark").agg(F.min("doc_id").alias("id")))
-    links = fingerprint_links(nodes.where("id is not null"), pair_bucket)
-    found = components(links).select(F.col("node").alias("id"), "component")
-    classes = nodes.join(found, "id", "left").select(
-        "mark", F.coalesce("component", "id").alias("component_id")
-    )
     hexed = F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint")
-    return marks.join(classes, "mark").select("doc_id", hexed, "component_id")
+    return marks.join(_classes(marks, pair_bucket), "mark").select("doc_id", hexed, "component_id")
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, that of the smallest doc_id.
 
-    Rows that repeat the kept doc_id count as one document: one of them stays.
-    Rows without a doc_id stay. All columns are kept as they are.
+    A row goes if its own text is of the group of a smaller doc_id; another text under the same id
+    is judged by itself. Rows that repeat id and fingerprint count as one document: one of them
+    stays. Rows without a doc_id stay. All columns are kept as they are.
     """
-    dropped = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    # Rows that repeat a doc_id are rare: only their ids are grouped, then joined back.
-    repeated = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 and doc_id is not null")
+    digest = F.xxhash64(F.col("text").cast("string"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", digest.alias("digest"), utf8("text").alias("text"))
+    marks = store(rows.mapInArrow(_marked_batches, f"doc_id {kind}, digest long, mark long"))
+    judged = marks.join(_classes(marks, PAIR_BUCKET), "mark")
+    dropped = judged.where("doc_id <> component_id").select("doc_id", "digest").distinct()
+    # Rows that repeat the id and group of a kept one are rare: only ids are grouped, then joined back.
+    repeated = (
+        judged.where("doc_id = component_id")
+        .groupBy("doc_id", "mark")
+        .agg(F.count(F.lit(1)).alias("_n"), F.collect_set("digest").alias("_digests"))
+        .where("_n > 1")
+        .select("doc_id", "mark", F.explode("_digests").alias("digest"))
+    )
+    keys = [F.col("doc_id").eqNullSafe(F.col("_doc")), digest == F.col("_digest")]
+
+    def named(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"))
+
+    kept = docs.join(named(dropped), keys, "left_anti")
+    repeated = store(repeated)
     if repeated.isEmpty():
         return kept
-    again = kept.join(repeated.select("doc_id"), "doc_id", "left_semi")
-    once = again.dropDuplicates(["doc_id"])
-    return kept.join(repeated.select("doc_id"), "doc_id", "left_anti").unionByName(once)
+    # Of texts with one fingerprint under one id, the one with the least digest.
+    least = repeated.groupBy("doc_id", "mark").agg(F.min("digest").alias("digest"))
+    again = kept.join(named(least), keys, "left_semi").withColumn("_digest", digest)
+    once = again.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    return kept.join(named(repeated), keys, "left_anti").unionByName(once)

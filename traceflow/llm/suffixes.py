@@ -22,6 +22,7 @@ of its names once, in packed arrays, so a passage that a third of all documents
 share weighs no more than one entry per slab.
 """
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -259,7 +260,7 @@ def _bits(names: Names, replies: list[dict]) -> np.ndarray:
     return out
 
 
-def _candidates(slab: Slab, replies: list[dict], copies: np.ndarray, buckets: int) -> np.ndarray:
+def _candidates(slab: Slab, replies: list[dict], copied: np.ndarray, buckets: int) -> np.ndarray:
     """Starts of strings that reach a surviving sample within a period, whole copies left out."""
     at, names = _samples(slab, buckets)
     hit = at[names.spread(_bits(names, replies))] if len(at) else at
@@ -267,13 +268,26 @@ def _candidates(slab: Slab, replies: list[dict], copies: np.ndarray, buckets: in
     change = np.zeros(len(slab.data) + 1, np.int32)
     np.add.at(change, hit - np.minimum(inside[hit], PERIOD - 1), 1)
     np.add.at(change, hit + 1, -1)
-    own = np.repeat(~np.isin(slab.ids, copies), slab.sizes)
+    own = np.repeat(~copied, slab.sizes)
     return np.flatnonzero((np.cumsum(change)[:-1] > 0) & (slab.room(inside) >= LENGTH) & own)
 
 
-def _copies(replies: list[dict]) -> np.ndarray:
-    """Ids of whole copies; their reply has bucket -1."""
-    return np.concatenate([np.frombuffer(r["answer"], ">i8") for r in replies if r["bucket"] == -1] or [np.zeros(0, np.int64)])
+_COPY = np.dtype([("id", ">i8"), ("digest", ">u8")])
+
+
+def _copied(slab: Slab, replies: list[dict]) -> np.ndarray:
+    """Whether each document is a whole copy; their reply, ids with the first bytes of digests, has bucket -1.
+
+    Another text under the id of a copy is none.
+    """
+    told = np.frombuffer(b"".join(r["answer"] for r in replies if r["bucket"] == -1), _COPY)
+    found = np.isin(slab.ids, told["id"])
+    known = set(told.tolist())
+    for k in np.flatnonzero(found):
+        text = slab.data[slab.starts[k] : slab.starts[k] + slab.sizes[k]]
+        digest = int.from_bytes(hashlib.sha256(text).digest()[:8], "big")
+        found[k] = (int(slab.ids[k]), digest) in known
+    return found
 
 
 def _send_strings(buckets: int):
@@ -281,7 +295,7 @@ def _send_strings(buckets: int):
         for batch in batches:
             for number, slab, replies in _each_slab(batch):
                 first = [r for r in replies if 0 <= r["bucket"] < buckets]
-                at = _candidates(slab, first, _copies(replies), buckets)
+                at = _candidates(slab, first, _copied(slab, replies), buckets)
                 names = _strings(slab, at, buckets)
                 least = names.least(slab.document(at)) if len(at) else np.zeros(0, np.int64)
                 yield _rows(number, names, lambda a, b, x=least: _planes(x[a:b]))
@@ -296,8 +310,8 @@ def _cut(buckets: int):
                 first = [r for r in replies if 0 <= r["bucket"] < buckets]
                 # Replies to the strings come with bucket numbers above those to the samples.
                 second = [r | {"bucket": r["bucket"] - buckets} for r in replies if r["bucket"] >= buckets]
-                copies = _copies(replies)
-                at = _candidates(slab, first, copies, buckets)
+                copied = _copied(slab, replies)
+                at = _candidates(slab, first, copied, buckets)
                 change = np.zeros(len(slab.data) + 1, np.int32)
                 if len(at):
                     names = _strings(slab, at, buckets)
@@ -306,7 +320,7 @@ def _cut(buckets: int):
                     np.add.at(change, found, 1)
                     np.add.at(change, found + LENGTH, -1)
                 gone = np.cumsum(change)[:-1] > 0
-                gone |= np.repeat(np.isin(slab.ids, copies) & (slab.sizes >= LENGTH), slab.sizes)
+                gone |= np.repeat(copied & (slab.sizes >= LENGTH), slab.sizes)
                 data = np.frombuffer(slab.data, np.uint8)
                 counts, spans, kept = [], [], []
                 for a, n in zip(slab.starts.tolist(), slab.sizes.tolist(), strict=True):
@@ -339,7 +353,7 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     smaller doc_id is removed; strings do not cross documents and are judged on
     the input. ``spans`` are the maximal removed byte ranges, ``kept`` the other
     bytes. A null text is empty. A row without a doc_id loses nothing and is
-    nobody's source; rows that repeat a doc_id are not sources of each other.
+    nobody's source; rows that repeat a doc_id are not sources of each other, and each is judged by its own text.
     Texts are UTF-8 bytes, whole; one text has to fit in a task. Other columns
     are ignored. Strings are told apart by 64 hashed bits besides those that
     choose the bucket.
@@ -355,12 +369,13 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("_original"), F.count(F.lit(1)).alias("_n")
     )
     copied = digests.join(originals.where("_n > 1"), "digest").where("doc_id > _original")
-    # Ids as eight big-endian bytes each, those of a slab in one reply.
+    # Ids and heads of digests as eight big-endian bytes each, those of a slab in one reply.
+    both = F.concat(F.lpad(F.hex("doc_id"), 16, "0"), F.substring(F.hex("digest"), 1, 16)).alias("both")
     copies = store(
-        copied.select(F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int").alias("slab"), "doc_id")
+        copied.select(F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int").alias("slab"), both)
         .distinct()
         .groupBy("slab")
-        .agg(F.array_join(F.array_sort(F.collect_list(F.lpad(F.hex("doc_id"), 16, "0"))), "").alias("ids"))
+        .agg(F.array_join(F.array_sort(F.collect_list("both")), "").alias("ids"))
         .select("slab", F.lit(-1).alias("bucket"), F.unhex("ids").alias("answer"))
     )
     answer = "slab int, bucket int, answer binary"
