@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 from traceflow.llm import langid, passages, simhash, suffixes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, digest int"
@@ -43,6 +45,12 @@ def test_repeated_id_with_another_text_keeps_it(spark):
     assert left(passages.without_passages(docs)) == sorted([(1, copied), (5, own), (7, words(3, 60))])
 
 
+def test_words_are_counted_in_bulk():
+    texts = [b"", None, b" ", b"a", b"a b", b"ab", b" a\tb\n", b"\x0b\x0c", b"x" * 50, b"", "é ü".encode()]
+    batch = pa.array([b"cut", *texts, b"off"], pa.binary()).slice(1, len(texts))
+    assert passages._count_words(batch).tolist() == [len((t or b"").split()) for t in texts]
+
+
 def test_rows_that_repeat_a_kept_document_count_once(spark):
     text = words(4, 40)
     docs = table(spark, [(3, text, "en"), (3, text, "en"), (3, words(5, 40), "en"), (None, text, "en"), (None, text, "en")])

@@ -18,6 +18,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -468,12 +469,52 @@ def repeated_ranges(
     return begins, sorted(found)
 
 
+def _count_words(texts: pa.Array) -> np.ndarray:
+    """Words of each text, over the bytes of all of them at once; a null text has none."""
+    texts = pc.fill_null(texts, b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets -= offsets[0]
+    inside = ~_IS_SPACE[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    # The first byte of a text begins a word whatever stands before it.
+    first = offsets[:-1][np.diff(offsets) > 0]
+    begins[first] = inside[first]
+    seen = np.flatnonzero(begins)
+    return np.searchsorted(seen, offsets[1:]) - np.searchsorted(seen, offsets[:-1])
+
+
+def _untouched(batch: pa.RecordBatch, span: pa.DataType) -> pa.RecordBatch:
+    """Results of texts without anchors or windows, which go on as they are."""
+    many = batch.num_rows
+    return pa.RecordBatch.from_arrays(
+        [
+            batch.column(0),
+            batch.column(4),
+            pa.array(_count_words(batch.column(1)), pa.int64()),
+            pa.array(np.zeros(many, np.int64)),
+            pa.ListArray.from_arrays(pa.array(np.zeros(many + 1, np.int32)), pa.array([], span)),
+            batch.column(1),
+        ],
+        names=["doc_id", "digest", "n_words", "n_removed", "spans", "kept"],
+    )
+
+
 def _cut_batches(id_type: str):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # Handed on in small parts, so that no batch is held twice.
-            for at in range(0, batch.num_rows, _ROWS):
-                yield cut_part(batch.slice(at, _ROWS))
+            plain = np.array(batch.column(2).is_null()) & np.array(batch.column(3).is_null())
+            untouched, others = batch.filter(pa.array(plain)), batch.filter(pa.array(~plain))
+            if untouched.num_rows:
+                yield _untouched(untouched, span_of(untouched))
+            for at in range(0, others.num_rows, _ROWS):
+                yield cut_part(others.slice(at, _ROWS))
+
+    def span_of(batch: pa.RecordBatch) -> pa.DataType:
+        source = ("source", batch.column(0).type)
+        return pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), source])
 
     def cut_part(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns: dict[str, list] = {k: [] for k in ("doc_id", "digest", "n_words", "n_removed", "spans", "kept")}
@@ -482,12 +523,6 @@ def _cut_batches(id_type: str):
             pieces, windows = batch.column(2)[i].as_py(), batch.column(3)[i].values
             columns["doc_id"].append(batch.column(0)[i].as_py())
             columns["digest"].append(batch.column(4)[i].as_py())
-            if not pieces and windows is None:
-                columns["n_words"].append(len((text or b"").split()))
-                columns["n_removed"].append(0)
-                columns["spans"].append([])
-                columns["kept"].append(text)
-                continue
             starts, found = repeated_ranges(text or b"", pieces or [])
             gone = np.zeros(len(starts) + 1, bool)
             for a, b, _ in found:
@@ -508,9 +543,8 @@ def _cut_batches(id_type: str):
                 [{"first_word": a, "end_word": b, "source": s} for a, b, s in found]
             )
             columns["kept"].append(kept)
-        ids = batch.column(0).type
-        span = pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("source", ids)])
-        kinds = [ids, pa.int64(), pa.int64(), pa.int64(), pa.list_(span), pa.binary()]
+        span = span_of(batch)
+        kinds = [batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.list_(span), pa.binary()]
         return pa.RecordBatch.from_arrays(
             [pa.array(v, k) for v, k in zip(columns.values(), kinds, strict=True)], names=list(columns)
         )
