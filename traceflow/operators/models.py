@@ -2,6 +2,7 @@
 
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
@@ -19,6 +20,7 @@ from traceflow.functions.features import model_inputs
 from traceflow.functions.parsing import threshold
 from traceflow.operators import linear
 from traceflow.operators.metrics import binary_metrics, mean_loss
+from traceflow.operators.runlog import RunLog
 from traceflow.operators.sampling import downsample
 from traceflow.operators.selection import METRICS
 from traceflow.operators.splits import split_name
@@ -28,6 +30,8 @@ from traceflow.session import checkpoint
 FAMILIES = ("linear", "trees", "layers")
 # Fitted from counts alone, so its numbers can be had from any aggregate engine.
 COUNTS = "counts"
+# What tells the runs of a grid apart.
+CELL_KEY = ("model", "n", "layers")
 # Values a step's difficulty and answer can take in the one-hot form.
 DIFFICULTIES = (1, 2, 3)
 ANSWERS = (0, 1)
@@ -165,6 +169,7 @@ def run_grid(
     iterations: int = 20,
     seed: int = 42,
     parallelism: int = 4,
+    log: RunLog | None = None,
 ) -> DataFrame:
     """Fit every cell and log its metrics on validation and test.
 
@@ -173,13 +178,16 @@ def run_grid(
     fit; features are computed once per length and stay on the executors. With
     several epochs a perceptron and the linear cells go on from their last weights; trees
     are fitted with a budget of iterations that grows with the epoch. All linear cells of a
-    length share the passes of their fit.
+    length share the passes of their fit. With a ``log`` (by ``CELL_KEY``) every finished cell is added to it,
+    and cells that it has are not fitted again.
     """
     spark = labelled.sparkSession
     cells = list(cells)
     per_step = 3 if with_kc else 2
     records = []
-    for n in dict.fromkeys(c.n for c in cells):
+    done = log.finished() if log else set()
+    left = [(i, c) for i, c in enumerate(cells) if (c.family, c.n, c.layers) not in done]
+    for n in dict.fromkeys(c.n for _, c in left):
         inputs = (
             model_inputs(_split(labelled.where(F.col("n") == n), fold), n, with_kc)
             .select("student_id", "chunk", "split", "label", "vector")
@@ -194,13 +202,16 @@ def run_grid(
         @inheritable_thread_target(spark)
         def run(place: int | None) -> list[tuple]:
             if place is None:
-                return _linear_log(train, held, straight, epochs, iterations)
-            found = _fit_epochs(
-                train, held, cells[place], n * per_step, epochs, iterations, seed
-            )
-            return [(*row, place, loss) for *row, loss in found]
+                rows = _linear_log(train, held, straight, epochs, iterations)
+            else:
+                found = _fit_epochs(train, held, cells[place], n * per_step, epochs, iterations, seed)
+                rows = [(*row, place, loss) for *row, loss in found]
+            if log:
+                for _, of_cell in groupby(rows, key=lambda r: r[:3]):
+                    log.add(of_cell)
+            return rows
 
-        own = [(i, cell) for i, cell in enumerate(cells) if cell.n == n]
+        own = [(i, cell) for i, cell in left if cell.n == n]
         straight = [(i, cell) for i, cell in own if cell.family == linear.NAME]
         places = [None] * bool(straight) + [i for i, cell in own if cell.family != linear.NAME]
         try:
@@ -211,6 +222,8 @@ def run_grid(
         finally:
             train.unpersist()
             inputs.unpersist()
+    if log:
+        return log.read((c.family, c.n, c.layers) for c in cells)
     return spark.createDataFrame(records, GRID_LOG)
 
 
