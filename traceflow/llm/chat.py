@@ -180,19 +180,67 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def conversation_records(rows: DataFrame) -> DataFrame:
+def _with_parts(turns: Column) -> Column:
+    """A question and answer with the lines after the first as input."""
+    question, answer = turns[0]["content"], turns[1]["content"]
+    first = F.substring_index(question, "\n", 1)
+    return F.to_json(
+        F.struct(
+            first.alias("instruction"),
+            F.substring(question, F.char_length(first) + 2, F.char_length(question)).alias("input"),
+            answer.alias("output"),
+        )
+    )
+
+
+def _in_layout(turns: Column, pick: Column, messages: Column) -> Column:
+    """The turns in the layout of number ``pick``; as ``messages`` where that layout could not tell them all."""
+    speakers = F.transform(
+        turns,
+        lambda t: F.struct(
+            F.when(t["role"] == "user", "human").when(t["role"] == "assistant", "gpt").otherwise(t["role"]).alias("from"),
+            t["content"].alias("value"),
+        ),
+    )
+    plain_roles = ~F.exists(turns, lambda t: t["role"].isin("human", "gpt"))
+    pair = (F.size(turns) == 2) & (turns[0]["role"] == "user") & (F.element_at(turns, -1)["role"] == "assistant")
+    # A last line end would be lost with an empty input.
+    parts = pair & ~F.endswith(turns[0]["content"], F.lit("\n"))
+
+    def two(question: str, answer: str) -> Column:
+        return F.to_json(F.struct(turns[0]["content"].alias(question), turns[1]["content"].alias(answer)))
+
+    return (
+        F.when((pick == 1) & plain_roles, F.to_json(F.struct(speakers.alias("conversations"))))
+        .when((pick == 2) & pair, two("prompt", "completion"))
+        .when((pick == 3) & pair, two("prompt", "response"))
+        .when((pick == 4) & pair, two("instruction", "output"))
+        .when((pick == 5) & parts, _with_parts(turns))
+        .otherwise(messages)
+    )
+
+
+def conversation_records(rows: DataFrame, varied: bool = False) -> DataFrame:
     """(conv_id, record, paths): turn rows (conv_id, turn, role, text) as one JSON record per conversation.
 
     Turns are in order of turn, then role and text; null roles and texts are
     empty and a null conv_id is a conversation. A conversation has to fit a row.
+    Records are lists of messages; if ``varied``, a hash of conv_id gives each one of
+    the layouts that can hold its turns, as sources of several kinds would.
+    ``paths`` has the field paths of records too long for the parser, else null.
     """
     turn = F.struct(
         "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content")
     )
-    turns = F.array_sort(F.collect_list(turn))
-    messages = F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    made = rows.groupBy("conv_id").agg(F.to_json(F.struct(messages.alias("messages"))).alias("record"))
-    return made.withColumn("paths", F.lit(MESSAGES))
+    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("_turns"))
+    listed = F.transform("_turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
+    made = grouped.withColumn("record", F.to_json(F.struct(listed.alias("messages"))))
+    long = F.char_length("record") >= LONG_RECORD
+    record = F.col("record")
+    if varied:
+        pick = F.pmod(F.xxhash64(F.col("conv_id").cast("string")), F.lit(len(LAYOUTS)))
+        record = F.when(long, record).otherwise(_in_layout(F.col("_turns"), pick, record))
+    return made.select("conv_id", record.alias("record"), F.when(long, MESSAGES).alias("paths"))
 
 
 def format_turns(turns: str = "turns") -> Column:
