@@ -2,9 +2,11 @@
 
 Every source is a flow whose rate is its target. A document's virtual finish
 time is the words its source has served up to its end, over the target; the
-second pass over a source follows the first. At virtual time one each flow has
-got exactly its target, so that is where the sorted queue reaches the total
-budget; a document in service at that moment is cut there.
+second pass over a source follows the first. Each pass of a document is a packet,
+in two where its flow's target falls inside it. Packets are range sorted by
+virtual finish time over all sources and the queue is truncated at the total
+budget: sums per range tell which ranges are served, and only the one in which
+the budget ends is summed packet by packet.
 """
 
 from collections.abc import Sequence
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceflow.llm.common import store
+from traceflow.operators.ranking import range_sorted
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -76,8 +79,8 @@ def plan_mix(
     """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, first_finish.
 
     ``taken`` counts the words the mix takes of the document over all passes,
-    at most ``repeats * size``; they add up to each source's target, rounded
-    down. ``first_finish`` is the virtual finish time of the first pass (null
+    at most ``repeats * size``: those of its packets ahead of the cut. They add up
+    to each source's target, rounded down. ``first_finish`` is the virtual finish time of the first pass (null
     for a source without words). Order within a source is a seeded hash of
     doc_id, ties by doc_id and size, so reruns agree. A null source is a source
     of its own; a null or wordless text has size 0 and nothing is taken of it.
@@ -109,20 +112,67 @@ def plan_mix(
     inside = Window.partitionBy("source", "_bucket").orderBy("_order", "doc_id", "size").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    served = flows.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    # Rows that are equal in all these are told apart by their number.
+    number = F.row_number().over(Window.partitionBy("source", "_bucket").orderBy("_order", "doc_id", "size"))
+    served = flows.select("*", F.coalesce(F.sum("size").over(inside), F.lit(0)).alias("_inside"), number.alias("_number"))
     same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_bucket_of"))
     served = served.join(offsets, same).withColumn("_start", F.col("_offset") + F.col("_inside"))
+    finish = F.try_divide((F.col("_start") + F.col("size")).cast("double"), F.col("target"))
+    document = ["doc_id", "source", "size", "source_size", "target", "first_finish", "_bucket", "_number"]
+    queue = packets(served.withColumn("first_finish", finish), repeats).select(
+        *document, "turn", "words", "finish", "beyond"
+    )
+    words = targets.agg(F.sum(F.floor("target"))).first()[0] or 0
+    taken = cut_at_budget(queue, int(words)).groupBy(*document).agg(F.sum("served").alias("taken"))
+    return taken.select("doc_id", "source", "size", "source_size", "target", "taken", "first_finish")
+
+
+def packets(flows: DataFrame, repeats: int = REPEATS) -> DataFrame:
+    """The packets of each row of ``flows`` (size, source_size, target, _start): turn, words, finish, beyond added.
+
+    One for each pass, or two where the flow's target, in whole words, falls
+    inside it; ``beyond`` is 1 for what is past the target. A wordless document
+    has one packet of no words.
+    """
     goal = F.floor("target").cast("long")
-    taken = F.lit(0).cast("long")
+    made = []
     for turn in range(repeats):
         start = F.col("_start") + F.lit(turn) * F.col("source_size")
-        taken = taken + F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), goal - start))
-    finish = F.try_divide((F.col("_start") + F.col("size")).cast("double"), F.col("target"))
-    return served.select(
-        "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), finish.alias("first_finish")
+        own = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), goal - start))
+        for beyond, words, end in ((0, own, start + own), (1, F.col("size") - own, start + F.col("size"))):
+            finish = F.try_divide(end.cast("double"), F.col("target"))
+            made.append(
+                F.struct(
+                    F.lit(turn).alias("turn"), words.alias("words"), finish.alias("finish"), F.lit(beyond).alias("beyond")
+                )
+            )
+    full = F.filter(F.array(*made), lambda p: p["words"] > 0)
+    return flows.select("*", F.explode(F.when(F.col("size") > 0, full).otherwise(F.array(made[0]))).alias("_p")).select(
+        *flows.columns, "_p.*"
     )
 
 
+def cut_at_budget(queue: DataFrame, words: int) -> DataFrame:
+    """The packets range sorted by virtual finish time, with ``served``: the words ahead of the cut after ``words`` words.
+
+    Ties go to packets within their flow's target, then by source, bucket, number and turn.
+    """
+    order = ["finish", "beyond", "source", "_bucket", "_number", "turn"]
+    ordered = range_sorted(queue, [F.col(name).asc() for name in order])
+    sums = ordered.groupBy("_part").agg(F.sum("words").alias("_words"))
+    # One row per partition of the sort.
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = sums.select("_part", "_words", F.coalesce(F.sum("_words").over(earlier), F.lit(0)).alias("_before"))
+    left = F.greatest(F.lit(0).cast("long"), F.lit(words) - F.col("_before"))
+    placed = ordered.join(F.broadcast(parts.select("_part", "_words", left.alias("_left"))), "_part")
+    ends_here = (F.col("_left") > 0) & (F.col("_left") < F.col("_words"))
+    whole = placed.where(~ends_here).withColumn("served", F.when(F.col("_left") > 0, F.col("words")).otherwise(0))
+    before = Window.partitionBy("_part").orderBy("_index").rowsBetween(Window.unboundedPreceding, -1)
+    rest = F.greatest(F.lit(0).cast("long"), F.col("_left") - F.coalesce(F.sum("words").over(before), F.lit(0)))
+    cut = placed.where(ends_here).withColumn("served", F.least(F.col("words"), rest))
+    return whole.unionByName(cut).drop("_part", "_index", "_words", "_left")
+
+
 def queue_order(plan: DataFrame, repeats: int = REPEATS) -> DataFrame:
     """The mix as a globally range-sorted queue: one row per document and pass that is taken.
 
