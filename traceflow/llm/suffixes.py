@@ -41,6 +41,10 @@ SLAB_BYTES = 2_000_000
 SLABS_PER_FILE = 16
 BUCKET_BYTES = 16_000_000
 
+# Positions hashed at once, and flags of a lookup by low bits.
+_BLOCK = 16384
+_LOW_BITS = 1 << 22
+
 _ON_COVER = np.isin(np.arange(PERIOD), COVER)
 _NAMES = "slab int, bucket int, names binary, marks binary"
 
@@ -110,20 +114,32 @@ class Slab:
         return self.ids[np.searchsorted(self.starts, at, side="right") - 1]
 
     def hashed(self, at: np.ndarray, length: int, seed: int) -> np.ndarray:
-        out = np.full(len(at), seed, np.uint64)
-        for offset in [*range(0, length - 8, 8), length - 8]:
-            out = (out ^ self._words[at + offset]) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-            out *= np.uint64(0xBF58476D1CE4E5B9)
-            out ^= out >> np.uint64(32)
-        return out
+        """A hash of the bytes from each of the ascending positions on, block by block to stay in the cache."""
+        hashes = np.empty(len(at), np.uint64)
+        for begin in range(0, len(at), _BLOCK):
+            near, out = at[begin : begin + _BLOCK], hashes[begin : begin + _BLOCK]
+            words = self._words[near[0] : near[-1] + length - 7]
+            # Copied where it is small: numbers at odd addresses are slow to pick.
+            if len(words) <= 8 * _BLOCK:
+                words = words.copy()
+            place, out[:] = near - near[0], seed
+            for offset in [*range(0, length - 8, 8), length - 8]:
+                out ^= words[place + offset]
+                out *= np.uint64(0x9E3779B97F4A7C15)
+                out ^= out >> np.uint64(29)
+                out *= np.uint64(0xBF58476D1CE4E5B9)
+                out ^= out >> np.uint64(32)
+        return hashes
 
 
 class Names:
     """The distinct names of some positions, sorted by bucket and name."""
 
     def __init__(self, bucket: np.ndarray, name: np.ndarray, buckets: int):
-        self.order = np.lexsort((name, bucket))
+        by_name = np.argsort(name)
+        # Numbers of 16 bits are sorted in linear time.
+        small = bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket
+        self.order = by_name[np.argsort(small[by_name], kind="stable")]
         b, n = bucket[self.order], name[self.order]
         first = np.r_[True, (b[1:] != b[:-1]) | (n[1:] != n[:-1])] if len(b) else np.zeros(0, bool)
         self.heads = np.flatnonzero(first)
@@ -134,9 +150,6 @@ class Names:
     def least(self, values: np.ndarray) -> np.ndarray:
         return np.minimum.reduceat(values[self.order], self.heads) if len(self.heads) else values[:0]
 
-    def most(self, values: np.ndarray) -> np.ndarray:
-        return np.maximum.reduceat(values[self.order], self.heads) if len(self.heads) else values[:0]
-
     def spread(self, per_name: np.ndarray) -> np.ndarray:
         """A value per name back to the positions."""
         out = np.empty(len(self.order), per_name.dtype)
@@ -144,12 +157,52 @@ class Names:
         return out
 
 
-def _samples(slab: Slab, buckets: int) -> tuple[np.ndarray, Names]:
-    inside = slab.inside()
-    at = np.flatnonzero(_ON_COVER[inside % PERIOD] & (slab.room(inside) >= TUPLE))
-    h = slab.hashed(at, TUPLE, 1)
-    bucket = (h >> np.uint64(32)) % np.uint64(buckets)
-    return at, Names(bucket.astype(np.int32), h.astype(np.uint32), buckets)
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of the values are in a sorted array; most that are not are told by their low bits."""
+    low = np.uint64(_LOW_BITS - 1)
+    seen = np.zeros(_LOW_BITS, bool)
+    seen[(ordered & low).view(np.int64)] = True
+    found = seen[(values & low).view(np.int64)]
+    at = np.flatnonzero(found)
+    if len(at):
+        asked = values[at]
+        found[at] = ordered[np.minimum(np.searchsorted(ordered, asked), len(ordered) - 1)] == asked
+    return found
+
+
+class SampleNames:
+    """The distinct names of the samples of a slab, sorted by bucket and name.
+
+    Bucket and name of 32 bits each are one number, so the numbers are sorted
+    without the positions; only the positions of names in question are looked up.
+    """
+
+    def __init__(self, slab: Slab, buckets: int):
+        inside = slab.inside()
+        self.at = np.flatnonzero(_ON_COVER[inside % PERIOD] & (slab.room(inside) >= TUPLE))
+        h = slab.hashed(self.at, TUPLE, 1)
+        self._key = (h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
+        ordered = np.sort(self._key)
+        heads = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
+        self._distinct = ordered[heads]
+        self._counts = np.diff(np.r_[heads, len(ordered)])
+        self.names = self._distinct.astype(np.uint32)
+        self.cuts = np.searchsorted(self._distinct, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
+
+    def several(self, slab: Slab) -> np.ndarray:
+        """Whether each name is found in more than one document of the slab."""
+        out = self._counts > 1
+        again = np.flatnonzero(_among(self._key, self._distinct[out]))
+        if len(again):
+            again = again[np.argsort(self._key[again])]
+            heads = np.flatnonzero(np.r_[True, self._key[again[1:]] != self._key[again[:-1]]])
+            owner = slab.document(self.at[again])
+            out[out] = np.minimum.reduceat(owner, heads) < np.maximum.reduceat(owner, heads)
+        return out
+
+    def positions(self, picked: np.ndarray) -> np.ndarray:
+        """The positions of the picked names."""
+        return self.at[_among(self._key, self._distinct[picked])]
 
 
 def _strings(slab: Slab, at: np.ndarray, buckets: int) -> Names:
@@ -157,7 +210,7 @@ def _strings(slab: Slab, at: np.ndarray, buckets: int) -> Names:
     return Names(bucket.astype(np.int32), slab.hashed(at, LENGTH, 3), buckets)
 
 
-def _rows(slab: int, names: Names, marks) -> pa.RecordBatch:
+def _rows(slab: int, names: Names | SampleNames, marks) -> pa.RecordBatch:
     """Packed names, one row per bucket."""
     full = np.flatnonzero(np.diff(names.cuts))
     ranges = [(names.cuts[b], names.cuts[b + 1]) for b in full]
@@ -192,9 +245,8 @@ def _send_samples(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, slab, _ in _each_slab(batch):
-                at, names = _samples(slab, buckets)
-                owner = slab.document(at)
-                several = names.least(owner) < names.most(owner)
+                names = SampleNames(slab, buckets)
+                several = names.several(slab)
                 yield _rows(number, names, lambda a, b, s=several: np.packbits(s[a:b]).tobytes())
 
     return run
@@ -204,18 +256,14 @@ def _survivors(group: pa.Table) -> pa.Table:
     """Bits of the names that two slabs send or one slab has in several documents."""
     parts = [np.frombuffer(x, np.uint32) for x in group.column("names").to_pylist()]
     sizes = [len(p) for p in parts]
-    names = np.concatenate(parts)
+    names = np.concatenate(parts).astype(np.uint64)
     marks = group.column("marks").to_pylist()
     several = np.concatenate(
         [np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(marks, sizes, strict=True)]
     ).astype(bool)
     ordered = np.sort(names)
-    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    repeated = np.union1d(twice, names[several])
-    place = np.searchsorted(repeated, names)
-    stays = np.zeros(len(names), bool)
-    if len(repeated):
-        stays = repeated[np.minimum(place, len(repeated) - 1)] == names
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    stays = _among(names, np.unique(np.r_[twice, names[several]]))
     cuts = np.cumsum(sizes)[:-1]
     return _answers(group, [np.packbits(x).tobytes() for x in np.split(stays, cuts)])
 
@@ -251,7 +299,7 @@ def _runs(mask: np.ndarray) -> np.ndarray:
     return edges.reshape(-1, 2)
 
 
-def _bits(names: Names, replies: list[dict]) -> np.ndarray:
+def _bits(names: Names | SampleNames, replies: list[dict]) -> np.ndarray:
     """The replies of the buckets as one flag per name."""
     out = np.zeros(len(names.names), bool)
     for r in replies:
@@ -262,8 +310,8 @@ def _bits(names: Names, replies: list[dict]) -> np.ndarray:
 
 def _candidates(slab: Slab, replies: list[dict], copied: np.ndarray, buckets: int) -> np.ndarray:
     """Starts of strings that reach a surviving sample within a period, whole copies left out."""
-    at, names = _samples(slab, buckets)
-    hit = at[names.spread(_bits(names, replies))] if len(at) else at
+    names = SampleNames(slab, buckets)
+    hit = names.positions(_bits(names, replies))
     inside = slab.inside()
     change = np.zeros(len(slab.data) + 1, np.int32)
     np.add.at(change, hit - np.minimum(inside[hit], PERIOD - 1), 1)
