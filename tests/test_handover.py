@@ -1,5 +1,7 @@
 """From files to prompts and models, and the rules for rows that would get lost."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +120,39 @@ def test_salts_grow_with_the_key(spark):
     hot = joins.hot_keys(rows, "k", 100).collect()
     assert [tuple(r) for r in hot] == [(1, 700)]
     assert joins.hot_keys(rows, "k", 700) is None
+
+
+def test_folds_are_views_of_the_blocks(spark, make_attempts, tmp_path):
+    """Files that hold every sequence once give what the directories of all folds give, from a third of the rows."""
+    histories = {s: [(s + i) % 3 % 2 for i in range(12)] for s in range(1, 41)}
+    log = make_attempts(histories)
+    questions = spark.createDataFrame([(i, i % 3 + 1) for i in range(1, 13)], "id long, difficulty int")
+    labelled = history.sequences(log, questions, (5, 10), splits.student_split(log))
+    spread, once = str(tmp_path / "spread"), str(tmp_path / "once")
+    writers.write_sequences(labelled, spread)
+    writers.write_blocks(labelled, once)
+    assert spark.read.parquet(once).count() == labelled.count()
+    kept = labelled.where(~splits.in_test()).count()
+    assert spark.read.parquet(spread).count() == 3 * kept + labelled.count() - kept
+    for fold in (1, 2, 3):
+        for split in (None, "train", "val", "test"):
+            for n in (None, 5):
+                seen = readers.read_fold(spark, once, fold, split, n)
+                want = readers.read_sequences(spark, spread, n, split, fold)
+                assert seen.columns == want.columns and rows_of(seen) == rows_of(want)
+                assert split is None or seen.count() > 0
+    # Conditions become partition filters, and files of other blocks are not opened.
+    view = readers.read_fold(spark, once, 2, "val", 5)
+    seen = rows_of(view)
+    for broken in (*Path(once).glob("n=*/block=[02t]*/*.parquet"), *Path(once).glob("n=10/block=1/*.parquet")):
+        broken.write_bytes(b"no Parquet")
+        broken.with_name(f".{broken.name}.crc").unlink()
+    assert rows_of(view) == seen
+    with pytest.raises(Exception, match="not a Parquet file"):
+        readers.read_fold(spark, once, 2, "val").count()
+    plan = view._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(n" in plan and "(block#" in plan.partition("PartitionFilters")[2].partition("]")[0]
+    with pytest.raises(ValueError, match="split"):
+        readers.read_fold(spark, once, 1, "validation")
+    with pytest.raises(Exception, match="no block"):
+        writers.write_blocks(labelled.withColumn("block", F.lit(None).cast("string")), str(tmp_path / "bad"))

@@ -111,6 +111,17 @@ def sequences_of_fold(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def sequences_of_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """All splits of one fold and the validation split of another, from files that hold every sequence once."""
+    log = tt.attempts(spark, sf)
+    path = _folder(spark)
+    writers.write_blocks(history.sequences(log, tt.questions(spark, sf), (5, 10), splits.student_split(log)), path)
+    seen = readers.read_fold(spark, path, 1).unionByName(readers.read_fold(spark, path, 3, "val", 10))
+    return seen.select(
+        "student_id", "chunk", F.array_join(F.col("answers").cast("array<string>"), ",").alias("answers"), "n", "split", "fold"
+    )
+
+
 def metrics_files(spark: SparkSession, sf: str) -> DataFrame:
     """The best run per configuration and split, from the files of a metric log."""
     path = _folder(spark)
@@ -140,6 +151,7 @@ def queries() -> dict[str, Query]:
         kc_link_from_csv,
         sequence_files,
         sequences_of_fold,
+        sequences_of_blocks,
         metrics_files,
         training_text_file,
     )

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from traceflow.functions.parsing import flag
+from traceflow.operators.splits import in_test, in_training, in_validation, split_name
 from traceflow.schemas import KC_LINK, KCS, QUESTION_KC, QUESTIONS, SEQUENCE_FILE, SEQUENCE_KEY
 from traceflow.sources.ranges import read_json_array, read_quoted_csv
 
@@ -124,6 +125,12 @@ def read_sequence_folder(
     return read_sequence_file(spark, f"{folder}/{sequence_file_name(n, split, fold)}")
 
 
+_WRITTEN = (
+    "student_id long, chunk long, question_ids array<long>, answers array<int>, difficulties array<int>, "
+    "hint_used array<int>, n int"
+)
+
+
 def read_sequences(
     spark: SparkSession,
     path: str,
@@ -136,18 +143,8 @@ def read_sequences(
 
     Hold-out sequences belong to no fold, so ``fold`` does not apply to them.
     """
-    fields = [
-        T.StructField("student_id", T.LongType()),
-        T.StructField("chunk", T.LongType()),
-        T.StructField("question_ids", T.ArrayType(T.LongType())),
-        T.StructField("answers", T.ArrayType(T.IntegerType())),
-        T.StructField("difficulties", T.ArrayType(T.IntegerType())),
-        T.StructField("hint_used", T.ArrayType(T.IntegerType())),
-        T.StructField("n", T.IntegerType()),
-        T.StructField("split", T.StringType()),
-        T.StructField("fold", T.IntegerType()),
-    ]
-    rows = spark.read.schema(T.StructType(fields)).format(fmt).load(path)
+    schema = f"{_WRITTEN}, split string, fold int"
+    rows = spark.read.schema(schema).format(fmt).load(path)
     if n is not None:
         rows = rows.where(F.col("n") == n)
     if split is not None:
@@ -155,3 +152,28 @@ def read_sequences(
     if fold is not None:
         rows = rows.where(F.col("fold").isin(fold, 0))
     return rows
+
+
+def read_fold(
+    spark: SparkSession,
+    path: str,
+    fold: int,
+    split: str | None = None,
+    n: int | None = None,
+    fmt: str = "parquet",
+) -> DataFrame:
+    """Sequences written by ``write_blocks`` as one fold, counted from 1, sees them.
+
+    Gives the rows and columns of ``read_sequences`` with the same conditions. The split is a
+    condition on the block, so only the directories of that split and length are read.
+    """
+    rows = spark.read.schema(f"{_WRITTEN}, block string").format(fmt).load(path)
+    if n is not None:
+        rows = rows.where(F.col("n") == n)
+    if split is not None:
+        members = {"train": in_training(fold), "val": in_validation(fold), "test": in_test()}
+        if split not in members:
+            raise ValueError(f"unknown split {split}")
+        rows = rows.where(members[split])
+    number = F.when(in_test(), 0).otherwise(fold).alias("fold")
+    return rows.select(*[c for c in rows.columns if c != "block"], split_name(fold).alias("split"), number)

@@ -32,6 +32,17 @@ def write_sequences(
     ).partitionBy(*directories).format(fmt).save(path)
 
 
+def write_blocks(labelled: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
+    """Every sequence once, one directory per length and block; ``readers.read_fold`` sees any fold in them.
+
+    The files of ``write_sequences`` hold a sequence once per fold it takes part in, these a
+    third of that for three folds. A sequence without a block belongs to no split and is refused.
+    """
+    block = F.coalesce("block", F.raise_error(F.lit("a sequence has no block")).cast("string"))
+    rows = labelled.withColumn("block", block).hint("rebalance", "n", "block")
+    rows.write.mode(mode).partitionBy("n", "block").format(fmt).save(path)
+
+
 def write_metrics(log: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """All runs and the best run per model and split, as JSON under ``path``."""
     log.write.mode(mode).partitionBy("split").json(f"{path}/all")
