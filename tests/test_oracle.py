@@ -11,8 +11,6 @@ from __spark_entry__ import entry, oracle_sql, queries
 from tools.compare import compare, connect
 
 SF = f"/root/testdata/sf{os.environ.get('TRACEFLOW_SF', '0.001')}"
-# Fits many models; run by tools/compare.py instead.
-SLOW = {"grid_best"}
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +18,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(queries()))
 def test_query(spark, con, name):
     df = queries()[name](spark, SF)
     sql = oracle_sql().get(name)

@@ -1,7 +1,8 @@
 """Fit, apply and compare sequence classifiers with Spark ML."""
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import groupby
 from multiprocessing.pool import ThreadPool
 
@@ -18,8 +19,7 @@ from pyspark.sql import functions as F
 
 from traceflow.functions.features import model_inputs
 from traceflow.functions.parsing import threshold
-from traceflow.operators import linear
-from traceflow.operators.metrics import binary_metrics, mean_loss
+from traceflow.operators import linear, modeltables
 from traceflow.operators.runlog import RunLog
 from traceflow.operators.sampling import downsample
 from traceflow.operators.selection import METRICS
@@ -123,10 +123,11 @@ def predict(model: Model, inputs: DataFrame) -> DataFrame:
 
 
 def _fit_epochs(
-    train: DataFrame, held: DataFrame, cell: Cell, width: int, epochs: int, iterations: int, seed: int
-) -> Iterator[tuple]:
-    """Metric rows of one cell: one per epoch and split."""
-    model = None
+    train: DataFrame, cell: Cell, width: int, epochs: int, iterations: int, seed: int
+) -> DataFrame:
+    """A cell's model after each epoch, as rows of ``modeltables.TABLE``."""
+    spark = train.sparkSession
+    model, found = None, []
     for epoch in range(epochs):
         resumes = cell.family == "layers"
         model = fit(
@@ -138,23 +139,18 @@ def _fit_epochs(
             seed=seed,
             previous=model if resumes else None,
         )
-        scored = predict(model, held)
-        loss = mean_loss(scored, by=["split"]).select("split", F.col("log_loss").alias("loss"))
-        for row in binary_metrics(scored, by=["split"]).join(loss, "split").collect():
-            values = [row[m] for m in (*METRICS, "loss")]
-            yield (cell.family, cell.n, cell.layers, epoch, row["split"], *values)
+        as_rows = modeltables.from_layers if resumes else modeltables.from_trees
+        found.append(as_rows(spark, model, (cell.family, cell.n, cell.layers, epoch)))
+    return reduce(DataFrame.unionByName, found)
 
 
-def _linear_log(
-    train: DataFrame, held: DataFrame, cells: Sequence[tuple[int, Cell]], epochs: int, iterations: int
-) -> list[tuple]:
-    """Metric rows of the linear cells of one length: one fit, and one pass over the held rows."""
-    places = {cell.layers: place for place, cell in cells}
-    fitted = linear.fit(train, cells[0][1].n, sorted(places), epochs, iterations)
-    rows = linear.epoch_metrics(fitted, held.withColumn("n", F.lit(cells[0][1].n))).collect()
-    rows.sort(key=lambda r: (places[r["layers"]], r["epoch"], r["split"]))
+def _log_rows(fitted: DataFrame, held: DataFrame, cells: Sequence[tuple[int, Cell]]) -> list[tuple]:
+    """Metric rows of cells of one length, in the order of the grid; all their models in one scoring of ``held``."""
+    places = {(cell.family, cell.layers): place for place, cell in cells}
+    rows = modeltables.epoch_metrics(fitted, held.withColumn("n", F.lit(cells[0][1].n))).collect()
+    rows.sort(key=lambda r: (places[r["model"], r["layers"]], r["epoch"], r["split"]))
     return [
-        (*[r[c] for c in ("model", "n", "layers", "epoch", "split", *METRICS)], places[r["layers"]], r["loss"])
+        (*[r[c] for c in (*modeltables.MODEL_KEY, "split", *METRICS)], places[r["model"], r["layers"]], r["loss"])
         for r in rows
     ]
 
@@ -174,11 +170,12 @@ def run_grid(
     """Fit every cell and log its metrics on validation and test.
 
     ``labelled`` holds sequences of all lengths with their block. The driver
-    only submits fits, ``parallelism`` at a time, and keeps two metric rows per
+    only submits fits, ``parallelism`` at a time, and keeps their weights and two metric rows per
     fit; features are computed once per length and stay on the executors. With
     several epochs a perceptron and the linear cells go on from their last weights; trees
     are fitted with a budget of iterations that grows with the epoch. All linear cells of a
-    length share the passes of their fit. With a ``log`` (by ``CELL_KEY``) every finished cell is added to it,
+    length share the passes of their fit, and the models of all cells of a length, kept as rows, are scored
+    together. With a ``log`` (by ``CELL_KEY``) a cell is scored and added to it as soon as it is fitted,
     and cells that it has are not fitted again.
     """
     spark = labelled.sparkSession
@@ -199,26 +196,30 @@ def run_grid(
         train = train.select("label", "vector").persist(StorageLevel.MEMORY_AND_DISK)
         held = inputs.where(F.col("split") != "train")
 
+        own = [(i, cell) for i, cell in left if cell.n == n]
+        straight = [(i, cell) for i, cell in own if cell.family == linear.NAME]
+        groups = [straight] * bool(straight) + [[one] for one in own if one[1].family != linear.NAME]
+
         @inheritable_thread_target(spark)
-        def run(place: int | None) -> list[tuple]:
-            if place is None:
-                rows = _linear_log(train, held, straight, epochs, iterations)
+        def run(group: list[tuple[int, Cell]]) -> tuple[DataFrame, list[tuple]]:
+            if group is straight:
+                depths = [cell.layers for _, cell in group]
+                fitted = modeltables.from_linear(linear.fit(train, n, depths, epochs, iterations))
             else:
-                found = _fit_epochs(train, held, cells[place], n * per_step, epochs, iterations, seed)
-                rows = [(*row, place, loss) for *row, loss in found]
-            if log:
-                for _, of_cell in groupby(rows, key=lambda r: r[:3]):
-                    log.add(of_cell)
-            return rows
+                fitted = _fit_epochs(train, group[0][1], n * per_step, epochs, iterations, seed)
+            if not log:
+                return fitted, []
+            rows = _log_rows(fitted, held, group)
+            for _, of_cell in groupby(rows, key=lambda r: r[:3]):
+                log.add(of_cell)
+            return fitted, rows
 
-        own = [(i, cell) for i, cell in left if cell.n == n]
-        straight = [(i, cell) for i, cell in own if cell.family == linear.NAME]
-        places = [None] * bool(straight) + [i for i, cell in own if cell.family != linear.NAME]
         try:
             train.count()
-            with ThreadPool(min(parallelism, len(places))) as pool:
-                for rows in pool.map(run, places):
-                    records += rows
+            with ThreadPool(min(parallelism, len(groups))) as pool:
+                fitted = [f for f, _ in pool.map(run, groups)]
+            if not log:
+                records += _log_rows(reduce(DataFrame.unionByName, fitted), held, own)
         finally:
             train.unpersist()
             inputs.unpersist()

@@ -26,6 +26,7 @@ from traceflow.operators import (
     lookups,
     metrics,
     models,
+    modeltables,
     packing,
     prompts,
     sampling,
@@ -495,6 +496,32 @@ def linear_epochs(spark: SparkSession, sf: str) -> DataFrame:
     return linear.epoch_metrics(fitted, inputs.where("split <> 'train'")).withColumn("loss", F.round("loss", 8))
 
 
+def stump_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """The nodes of a boosted tree of depth one, as rows of the table of models."""
+    train = _linear_inputs(spark, sf, 5).where("split = 'train'")
+    fitted = models.fit(train, "trees", 1, iterations=1)
+    table = modeltables.from_trees(spark, fitted, ("trees", 5, 1, 0))
+    return modeltables.node_rows(table).select(
+        "tree", F.col("node").cast("long").alias("node"), "feature", "threshold", "low", "high", F.round("value", 8).alias("value")
+    )
+
+
+def grid_confidences(spark: SparkSession, sf: str) -> DataFrame:
+    """Hold-out scores of nine models of three families, in one pass over the sequences."""
+    inputs = _linear_inputs(spark, sf, 5)
+    train, width = inputs.where("split = 'train'"), 10
+    table = modeltables.from_linear(linear.fit(train, 5, (1, 2, 5)))
+    for depth in (1, 2, 5):
+        trees = models.fit(train, "trees", depth, iterations=5)
+        layers = models.fit(train, "layers", depth, width=width, iterations=5)
+        table = table.unionByName(modeltables.from_trees(spark, trees, ("trees", 5, depth, 0)))
+        table = table.unionByName(modeltables.from_layers(spark, layers, ("layers", 5, depth, 0)))
+    scored = modeltables.score(table, inputs.where("split = 'test'"))
+    return scored.groupBy("model", "layers", "label", "pred").agg(
+        F.count(F.lit(1)).alias("rows"), F.round(F.avg("conf"), 8).alias("conf")
+    )
+
+
 def counts_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Hold-out and validation scores of the family that is fitted from counts."""
     scored = models.fit_and_predict(
@@ -681,6 +708,8 @@ def queries() -> dict[str, Query]:
         "model_predictions": model_predictions,
         "linear_weights": linear_weights,
         "linear_epochs": linear_epochs,
+        "stump_nodes": stump_nodes,
+        "grid_confidences": grid_confidences,
         "counts_predictions": counts_predictions,
         "sequences_rough": sequences_rough,
         "sequences_question_order": sequences_question_order,

@@ -565,6 +565,26 @@ pairs AS (SELECT *, CAST(conf >= 0.5 AS INTEGER) AS pred FROM scored)
 """
 
 
+# One tree of depth one on labels of -1 and 1: the test that lowers their variance most, halfway between two values.
+_STUMP = """, inputs AS (
+    SELECT 2 * answers[5] - 1 AS y, flatten(list_transform(range(1, 6), lambda i: [difficulties[i]::DOUBLE,
+               CASE WHEN i < 5 THEN answers[i] ELSE 0 END::DOUBLE])) AS x
+    FROM labelled WHERE block NOT IN ('0', 'test')),
+sums AS (SELECT j, x[j + 1] AS v, count(*) AS many, sum(y) AS y FROM inputs, range(10) t(j) GROUP BY ALL),
+cuts AS (
+    SELECT j, (v + lead(v) OVER (PARTITION BY j ORDER BY v)) / 2 AS threshold,
+           sum(many) OVER w AS n_low, sum(y) OVER w AS y_low,
+           sum(many) OVER (PARTITION BY j) AS n_all, sum(y) OVER (PARTITION BY j) AS y_all
+    FROM sums WINDOW w AS (PARTITION BY j ORDER BY v)),
+best AS (
+    SELECT * FROM cuts WHERE threshold IS NOT NULL
+    ORDER BY round(y_low * y_low / n_low + (y_all - y_low) ** 2 / (n_all - n_low), 9) DESC, j, threshold LIMIT 1)
+SELECT 0 AS tree, node, CASE WHEN node = 0 THEN j::INTEGER END AS feature, CASE WHEN node = 0 THEN threshold END AS threshold,
+       CASE WHEN node = 0 THEN 1 ELSE -1 END AS low, CASE WHEN node = 0 THEN 2 ELSE -1 END AS high,
+       round(CASE node WHEN 0 THEN y_all / n_all WHEN 1 THEN y_low / n_low ELSE (y_all - y_low) / (n_all - n_low) END, 8) AS value
+FROM best, range(3) t(node)"""
+
+
 def _linear_oracles() -> dict[str, str]:
     def base(n: int) -> str:
         return _base(n, labelled=True).replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
@@ -581,6 +601,7 @@ def _linear_oracles() -> dict[str, str]:
         + """SELECT 'linear' AS model, 5 AS n, layers, epoch, j::INTEGER AS j,
             round(CASE WHEN j = 0 THEN bias ELSE weights[j] END, 8) AS weight, round(train_loss, 8) AS train_loss
             FROM models, range(0, 11) t(j)""",
+        "stump_nodes": base(5) + _STUMP,
         "linear_epochs": base(10)
         + _linear(10, (1, 2), 3, 8)
         + f"SELECT 'linear' AS model, 10 AS n, * FROM ({_metrics(by, f'GROUP BY {by}')}) JOIN ({loss}) USING ({by})",
@@ -607,6 +628,11 @@ def _file_oracles() -> dict[str, str]:
         "sequence_files": _base(5) + f"SELECT student_id, CAST(n AS INTEGER) AS n, {JOINED} FROM seqs",
         "sequences_of_fold": _base(5, labelled=True)
         + f"SELECT student_id, chunk, {_joined('answers')}, 5 AS n, 'val' AS split, 2 AS fold FROM labelled WHERE block = '1'",
+        "sequences_of_blocks": _base(5, 10, labelled=True)
+        + f"""SELECT student_id, chunk, {_joined('answers')}, CAST(n AS INTEGER) AS n,
+            CASE block WHEN 'test' THEN 'test' WHEN '0' THEN 'val' ELSE 'train' END AS split,
+            CASE block WHEN 'test' THEN 0 ELSE 1 END AS fold FROM labelled
+        UNION ALL SELECT student_id, chunk, {_joined('answers')}, 10, 'val', 3 FROM labelled WHERE block = '2' AND n = 10""",
         "metrics_files": _with(RUN_LOG)
         + """SELECT model, n, layers, epoch, acc, bal_acc, f1_0, f1_1, sup_0, sup_1, auc, split FROM log WHERE bal_acc > 0
 QUALIFY row_number() OVER (PARTITION BY model, n, layers, split ORDER BY bal_acc DESC, epoch) = 1""",
