@@ -308,7 +308,9 @@ def test_warc_edges(spark, tmp_path):
     for r in found:
         header, body = bytes(r["record"]).split(b"\r\n\r\n", 1)
         size = int([x for x in header.split(b"\r\n") if x.startswith(b"Content-Length")][0].split()[1])
-        assert body == (b"" if r["kind"] == "revisit" else bytes(r["payload"])) + b"\r\n\r\n" and size == len(body) - 4
+        http, body_of = body.split(b"\r\n\r\n", 1)
+        assert http.startswith(b"HTTP/1.1 200 OK\r\n") and int(http.split(b"Content-Length: ")[1]) == len(bytes(r["payload"]))
+        assert body_of == (b"" if r["kind"] == "revisit" else bytes(r["payload"])) + b"\r\n\r\n" and size == len(body) - 4
         assert f"sha1:{hashlib.sha1(bytes(r['payload'])).hexdigest()}".encode() in header
         assert b"\r\nX: y" not in header
     kinds = {(r["page_id"], r["kind"], r["refers_to"]) for r in found}

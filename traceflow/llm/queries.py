@@ -45,13 +45,13 @@ def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf: str) -> DataFrame:
     folder = new_folder(spark)
     warc.write_archive(table(spark, sf, "pages"), folder)
-    read = warc.read_archive(spark, folder)
-    return read.select(
+    records = warc.parse_records(warc.read_archive(spark, folder))
+    return records.select(
         "page_id",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha1("payload").alias("payload_digest"),
-        warc.header_field("header", "WARC-Type").alias("record_type"),
-        warc.header_page("header", "WARC-Refers-To").alias("refers_to"),
+        "payload_digest",
+        "record_type",
+        "refers_to",
     )
 
 
