@@ -224,6 +224,24 @@ def test_exact_passage_whose_seeds_are_older(spark):
     assert sorted((r["n_words"], r["n_removed"]) for r in twice.collect()) == [(190, 50), (200, 0)]
 
 
+def test_passage_with_edits_near_its_ends(spark):
+    """The stretch of equal words goes on past an edit, an added and a missing word, up to the 50 words it needs."""
+    shared = text_of(101, 52).split()
+    edited = [w for i, w in enumerate(shared) if i != 46]
+    edited[2] = "edit"
+    odd = shared[:3] + ["added"] + shared[3:]
+    rows = [
+        (1, text_of(102, 60) + " " + " ".join(shared) + " " + text_of(103, 60)),
+        (2, text_of(104, 60) + " " + " ".join(edited) + " " + text_of(105, 60)),
+        (3, " ".join(odd)),
+        (4, text_of(106, 60) + " " + " ".join(shared[:44]) + " " + text_of(107, 60)),
+    ]
+    found = by_id(passages.remove_passages(spark.createDataFrame(rows, "doc_id long, text string")), "n_removed", "spans")
+    assert found[1][0] == found[4][0] == 0
+    assert found[2][0] >= 50 and found[2][1][0]["source"] == 1
+    assert found[3][0] >= 50
+
+
 def test_chains_keep_order():
     anchors = [(0, 30, 100, 130), (50, 80, 150, 180), (60, 90, 20, 50), (100, 130, 200, 230), (5000, 5030, 5100, 5130)]
     chains = sorted(passages.chains_of(anchors), key=len)

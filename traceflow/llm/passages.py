@@ -399,6 +399,51 @@ def _common_words(a: list[bytes], b: list[bytes]) -> int:
     return first + last + len(left) - row.bit_count()
 
 
+# Words to skip in both texts for one edit or a few, the fewest first.
+_STEPS = sorted(
+    ((x, y) for x in range(5) for y in range(5) if x or y), key=lambda s: (max(s), abs(s[0] - s[1]))
+)
+# Unequal words for which nothing is made up, after which an end grows no further.
+_LOST = 5
+
+
+def _grown(a: list[bytes], b: list[bytes], loss: float) -> list[tuple[int, int, int, int]]:
+    """Runs of equal words (i, j, length, unequal words before) that follow one that ended before a[0] and b[0]."""
+    found, i, j, behind = [], 0, 0, 0.0
+    while behind <= loss * _LOST:
+        for x, y in _STEPS:
+            if a[i + x : i + x + 1] == b[j + y : j + y + 1] and a[i + x : i + x + 2] == b[j + y : j + y + 2]:
+                break
+        else:
+            return found
+        i, j, length = i + x, j + y, 0
+        while i + length < len(a) and j + length < len(b) and a[i + length] == b[j + length]:
+            length += 1
+        if not length:
+            return found
+        found.append((i, j, length, max(x, y)))
+        behind = max(0.0, behind + loss * max(x, y) - length)
+        i, j = i + length, j + length
+    return found
+
+
+def _widened(
+    runs: list[list[int]], first: int, last: int, score: float, min_words: int, loss: float
+) -> tuple[int, int]:
+    """Word range of the runs ``first`` to ``last``, with runs beside them while it is too short and enough stays equal."""
+    while runs[last][0] + runs[last][2] - runs[first][0] < min_words:
+        beside = []
+        if first:
+            beside.append((runs[first - 1][2] + runs[first][3] - loss * runs[first][4], first - 1, last))
+        if last + 1 < len(runs):
+            beside.append((runs[last + 1][2] + runs[last + 1][3] - loss * runs[last + 1][4], first, last + 1))
+        gain, low, high = max(beside, default=(-score - 1, first, last))
+        if score + gain < -1e-9:
+            break
+        score, first, last = score + gain, low, high
+    return runs[first][0], runs[last][0] + runs[last][2]
+
+
 def _passages(
     words: list[bytes], source: list[bytes], anchors: list[tuple[int, int]], min_words: int, similarity: float
 ) -> list[tuple[int, int]]:
@@ -421,19 +466,27 @@ def _passages(
         runs.append([i, j, length, equal, unequal])
     found = []
     loss = similarity / (1 - similarity)
-    start, score, best, best_end = 0, 0.0, 0.0, 0
-    for n, (i, _, length, equal, unequal) in enumerate(runs):
+    if runs:
+        # Both ends go on past edits: the first run is that of the chain only after what grew before it.
+        i, j = runs[-1][0] + runs[-1][2], runs[-1][1] + runs[-1][2]
+        after = [[i + x, j + y, n, 0, gap] for x, y, n, gap in _grown(words[i : i + 2 * len(source)], source[j:], loss)]
+        i, j = runs[0][:2]
+        for x, y, n, gap in _grown(words[max(0, i - 2 * j) : i][::-1], source[:j][::-1], loss):
+            runs[0][4] = gap
+            runs.insert(0, [i - x - n, j - y - n, n, 0, 0])
+        runs += after
+    first = last = 0
+    score = best = 0.0
+    for n, (_, _, length, equal, unequal) in enumerate(runs):
         after = score + equal - loss * unequal
         if n and (after <= 0 or best - after > loss * min_words):
-            found.append((start, best_end))
-            after, start, best = 0.0, i, 0.0
-        if not n:
-            start = i
+            found.append(_widened(runs, first, last, best, min_words, loss))
+            after, first, best = 0.0, n, 0.0
         score = after + length
         if score > best:
-            best, best_end = score, i + length
+            best, last = score, n
     if runs:
-        found.append((start, best_end))
+        found.append(_widened(runs, first, last, best, min_words, loss))
     return [(a, b) for a, b in found if b - a >= min_words]
 
 
