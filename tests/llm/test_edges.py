@@ -242,6 +242,11 @@ def test_passage_with_edits_near_its_ends(spark):
     assert found[3][0] >= 50
 
 
+def test_long_seeds_are_told_apart():
+    kinds = list(passages.seeds_of([text_of(111, 90).encode()]))
+    assert [set((h & 1).tolist()) for h, *_ in kinds] == [{0}, {1}]
+
+
 def test_chains_keep_order():
     anchors = [(0, 30, 100, 130), (50, 80, 150, 180), (60, 90, 20, 50), (100, 130, 200, 230), (5000, 5030, 5100, 5130)]
     chains = sorted(passages.chains_of(anchors), key=len)

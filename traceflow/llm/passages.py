@@ -114,7 +114,9 @@ def seeds_of(texts: list[bytes], kinds=SEEDS) -> Iterator[tuple[np.ndarray, ...]
         first = np.ones(len(order), bool)
         first[order[1:]] = (ho[1:] != ho[:-1]) | (oo[1:] != oo[:-1])
         base = starts_of[o]
-        yield h.view(np.int64), o, begin[chosen] - base, end[chosen + k - 1] - base, first
+        # The lowest bit tells long seeds from the others.
+        seed = h & ~np.uint64(1) | np.uint64(k == SEEDS[-1][0])
+        yield seed.view(np.int64), o, begin[chosen] - base, end[chosen + k - 1] - base, first
 
 
 def _seed_batches(batches: Iterator[pa.RecordBatch], kinds=SEEDS) -> Iterator[pa.RecordBatch]:
@@ -140,8 +142,8 @@ def _seed_batches(batches: Iterator[pa.RecordBatch], kinds=SEEDS) -> Iterator[pa
                 texts, numbers, held = [], [], 0
 
 
-def _anchors(docs: DataFrame) -> DataFrame:
-    """Seeds of each document next to their first occurrence in an earlier one."""
+def _anchors(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Seeds of each document next to their first occurrence in an earlier one; and the long seeds that repeat."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", utf8("text").alias("text")).where("doc_id is not null and text is not null")
     seeds = rows.mapInArrow(_seed_batches, f"seed long, doc_id {kind}, start int, end int, first boolean")
@@ -154,12 +156,13 @@ def _anchors(docs: DataFrame) -> DataFrame:
     )
     # Written first: few seeds repeat, and the shuffle of all seeds is over before the next one.
     source = store(source.where("source < _last").drop("_last"))
-    return (
+    anchors = (
         seeds.drop("first")
         .join(source, "seed")
         .where("doc_id > source")
         .select("doc_id", "source", "start", "end", "source_start", "source_end")
     )
+    return anchors, source.where(F.col("seed").bitwiseAND(F.lit(1)) == 1).select("seed")
 
 
 def _word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -193,16 +196,17 @@ def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(hashed), ids, pa.array(at)], names=["window", "doc_id", "at"])
 
 
-def _exact_windows(docs: DataFrame) -> DataFrame:
-    """(_exact_doc, _windows): places of the windows of 50 words that an earlier document has, with the first one."""
+def _exact_windows(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(_exact_doc, _windows): places of the windows of 50 words that an earlier document has, with the first one.
+
+    ``repeated`` are the long seeds of more than one doc_id.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", utf8("text").alias("text")).where("doc_id is not null and text is not null")
     seeds = rows.mapInArrow(
         lambda batches: _seed_batches(batches, SEEDS[-1:]),
         f"seed long, doc_id {kind}, start int, end int, first boolean",
     ).select("seed", "doc_id", "start")
-    repeated = seeds.groupBy("seed").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"))
-    repeated = store(repeated.where("_first < _last").select("seed"))
     marks = store(seeds.join(repeated, "seed").groupBy("doc_id").agg(F.collect_list("start").alias("_starts")))
     windows = store(
         rows.join(marks, "doc_id")
@@ -626,7 +630,8 @@ def remove_passages(docs: DataFrame) -> DataFrame:
 def _removed(docs: DataFrame) -> DataFrame:
     """``remove_passages`` with ``kept`` as bytes and the digest of each text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sorted_anchors = _anchors(docs).repartition("doc_id", "source").sortWithinPartitions(
+    anchors, repeated = _anchors(docs)
+    sorted_anchors = anchors.repartition("doc_id", "source").sortWithinPartitions(
         "doc_id", "source", "start", "source_start"
     )
     chains = store(
@@ -654,7 +659,7 @@ def _removed(docs: DataFrame) -> DataFrame:
     )
     cut, schema = _cut_batches(kind)
     texts = docs.select("doc_id", utf8("text").alias("_text"), F.xxhash64(utf8("text")).alias("_digest"))
-    exact = _exact_windows(docs)
+    exact = _exact_windows(docs, repeated)
     joined = texts.join(per_doc, texts["doc_id"] == per_doc["_doc"], "left")
     joined = joined.join(exact, texts["doc_id"] == exact["_exact_doc"], "left")
     return joined.select("doc_id", "_text", "_pieces", "_windows", "_digest").mapInArrow(cut, schema)
