@@ -183,6 +183,38 @@ def test_mean_vectors(spark, monkeypatch, bounded):
     assert rows_of(found) == [(1, [2.0, 1.0]), (2, [4.0, 3.0])]
 
 
+@pytest.mark.parametrize("bounded", [True, False])
+def test_mean_vectors_meet_in_blocks(spark, monkeypatch, bounded):
+    """Vectors move by block, not once per word; ids may repeat or be missing on both sides."""
+    monkeypatch.setattr(vocabulary, "fits_broadcast", lambda table: bounded)
+    monkeypatch.setattr(vocabulary, "BLOCK_BYTES", 40, raising=False)
+    monkeypatch.setattr(vocabulary, "SLICE_BYTES", 10, raising=False)
+    docs = [(i, " ".join("abcdefgz"[(i * j) % 8] for j in range(i % 23))) for i in range(60)]
+    docs += [(5, "a b"), (None, "a"), (70, None), (71, "z")]
+    table = [(97 + i, [float(i), float(i * i)]) for i in range(7)] + [(97, [7.0, 1.0]), (None, [1.0, 2.0])]
+    found = vocabulary.mean_vectors(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(table, "vec_id long, embedding array<float>"),
+        lambda w: F.ascii(w).cast("long"),
+    )
+    want = []
+    for i, _ in docs:
+        known = [v for j, t in docs if i is not None and j == i for w in (t or "").split() for k, v in table if k == ord(w)]
+        want.append((i, [sum(c) / len(known) for c in zip(*known, strict=True)] if known else None))
+    order = lambda r: (r[0] is None, r[0] or 0)
+    got = sorted(((r[0], r[1]) for r in found.collect()), key=order)
+    assert [g[0] for g in got] == [w[0] for w in sorted(want, key=order)]
+    for g, w in zip(got, sorted(want, key=order), strict=True):
+        assert g[1] == (None if w[1] is None else pytest.approx(w[1], abs=1e-12))
+    plan = found._jdf.queryExecution().toString()
+    if bounded:
+        # One exchange of texts by their id serves counts and sums, another one the ids that the means go to.
+        physical = plan[plan.index("== Physical Plan ==") :].split("== Initial Plan ==")[0]
+        assert physical.count("Exchange hashpartitioning") <= 2
+    else:
+        assert "FlatMapCoGroupsInArrow" in plan
+
+
 @pytest.mark.parametrize("size", [1, 7, 128])
 def test_packing_against_loop(spark, size):
     import hashlib
