@@ -55,3 +55,21 @@ def test_rows_that_repeat_a_kept_document_count_once(spark):
     text = words(4, 40)
     docs = table(spark, [(3, text, "en"), (3, text, "en"), (3, words(5, 40), "en"), (None, text, "en"), (None, text, "en")])
     assert left(simhash.keep_representatives(docs)) == sorted([(-1, text), (-1, text), (3, text), (3, words(5, 40))])
+
+
+def test_language_stage_sends_texts_alone(spark):
+    """Rows stay with Spark: a task of the stage holds neither whole rows nor its texts twice in Arrow batches."""
+    docs = table(spark, [(i, words(i, 3), "en") for i in range(9)] + [(9, "12 34", "en")])
+    kept = langid.keep_identified(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    sent = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+    assert all("n_chars" not in line.partition("(")[2].partition("]")[0] for line in sent)
+    assert [i for i, _ in left(kept)] == list(range(9))
+
+
+def test_language_stage_beyond_one_slice(spark, monkeypatch):
+    monkeypatch.setattr(langid, "KEPT_ROWS", 4)
+    rows = [(i, None if i % 7 == 0 else "12 34" if i % 5 == 0 else words(i, 4), "en") for i in range(50)]
+    kept = langid.keep_identified(table(spark, rows).coalesce(1))
+    assert left(kept) == [(i, t) for i, t, _ in rows if t and t != "12 34"]

@@ -23,6 +23,8 @@ SAMPLE_CHARS = 512
 STRETCH = 1024
 # Symbols that are parsed at once.
 SLAB = 2_000_000
+# Texts that are Python strings at once where only a flag of each is asked for.
+KEPT_ROWS = 4096
 
 _SPACE = 0
 _OTHER_LETTER = 255
@@ -261,10 +263,17 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     when there are no labels to learn from. Decisions are made row by row, so repeated ids
     and rows do not touch each other; an empty table stays empty.
     """
-    learned = training_sample(docs)
-    # Under names that no column of the table can clash with; the rest of the row goes along.
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    found = _parsed(rows, learned, ["row", "text"], "text", f"row {kind}, text string")
-    identified = (F.col("lang_pred") != "und") | F.col("letters")
-    return found.where(identified).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    model = docs.sparkSession.sparkContext.broadcast(training_sample(docs))
+
+    # Texts alone go to Python and one flag comes back; the rows wait beside it.
+    @F.arrow_udf("boolean")
+    def identified(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        parser = CrossParser(model.value)
+        for texts in batches:
+            found = []
+            for at in range(0, len(texts), KEPT_ROWS):
+                names, _, letters = parser.predict(texts.slice(at, KEPT_ROWS).to_pylist())
+                found += [name != "und" or letter for name, letter in zip(names, letters, strict=True)]
+            yield pa.array(found, pa.bool_())
+
+    return docs.where(identified(F.col("text").cast("string")))
