@@ -229,13 +229,15 @@ def exact_ranges(text: bytes, windows: pa.StructArray, gone: np.ndarray) -> list
     fits = np.flatnonzero(at + MIN_WORDS <= len(word))
     own = _range_hash(word, at[fits], at[fits] + MIN_WORDS).view(np.int64) == hashed[fits]
     fits = fits[own]
-    sources = windows.field(2).take(pa.array(fits)).to_pylist()
-    runs: list[list] = []
-    for first, source in sorted(set(zip(at[fits].tolist(), sources, strict=True))):
-        if runs and runs[-1][2] == source and runs[-1][1] - MIN_WORDS + 1 == first:
-            runs[-1][1] += 1
-        else:
-            runs.append([first, first + MIN_WORDS, source])
+    # One window of this text and so one source at each place, though rows that repeat may name it again.
+    places, one = np.unique(at[fits], return_index=True)
+    if not len(places):
+        return []
+    sources = windows.field(2).take(pa.array(fits[one]))
+    of = sources.dictionary_encode().indices.to_numpy()
+    cuts = np.flatnonzero((np.diff(places) != 1) | (of[1:] != of[:-1])) + 1
+    begins, ends = [0, *cuts.tolist()], [*(cuts - 1).tolist(), len(places) - 1]
+    runs = [(int(places[i]), int(places[j]) + MIN_WORDS, sources[i].as_py()) for i, j in zip(begins, ends, strict=True)]
     return [(a, b, s) for a, b, s in runs if not gone[a:b].all()]
 
 
@@ -308,7 +310,7 @@ def chains_of(anchors: list[tuple[int, int, int, int]], max_gap: int = MAX_GAP)
 _POINTS = "array<int>"
 
 
-def _thinned(points: list[list[int]]) -> tuple[list[tuple[int, int, int, int]], list[list]]:
+def _thinned(points: list[tuple[int, int, int, int]]) -> tuple[list[tuple[int, int, int, int]], list[list]]:
     """Anchors, and apart from them those that overlap another one of the same source place.
 
     Only a text that repeats itself word by word has such; of each place the
@@ -316,7 +318,7 @@ def _thinned(points: list[list[int]]) -> tuple[list[tuple[int, int, int, int]],
     """
     places: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
     for p in points:
-        places.setdefault((p[2], p[3]), []).append(tuple(p))
+        places.setdefault((p[2], p[3]), []).append(p)
     kept, repeats = [], []
     for same in places.values():
         if any(x[1] > y[0] for x, y in pairwise(same)):
@@ -345,7 +347,7 @@ def _chain_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         points = np.concatenate(held) if len(held) > 1 else held[0]
         if len(points) == 1 and points[0][1] - points[0][0] < lone:
             return
-        rows, repeats = _thinned(np.unique(points, axis=0).tolist())
+        rows, repeats = _thinned(sorted(set(map(tuple, points.tolist()))))
         found = [[rows[i] for i in chain] for chain in chains_of(rows)]
         for picked in found + repeats:
             if picked[0][1] - picked[0][0] >= lone or len(picked) > 1 and picked[0][2] != picked[-1][2]:
@@ -369,7 +371,11 @@ def _chain_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         docs, sources = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
         points = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3, 4, 5)])
         cuts = np.flatnonzero((docs[1:] != docs[:-1]) | (sources[1:] != sources[:-1])) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(docs)], strict=True):
+        froms, tos = np.r_[0, cuts], np.r_[cuts, len(docs)]
+        # A pair of one short seed makes no chain; at the ends of a batch it may have more of them.
+        used = (tos - froms > 1) | (points[froms, 1] - points[froms, 0] >= lone)
+        used[0] = used[-1] = True
+        for a, b in zip(froms[used].tolist(), tos[used].tolist(), strict=True):
             now = (docs[a], sources[a])
             if now != key:
                 close()
@@ -411,18 +417,43 @@ _STEPS = sorted(
 _LOST = 5
 
 
+# Words of the longest slice that is compared at once.
+_MOST_WORDS = 128
+
+
+def _equal_words(a: list[bytes], i: int, b: list[bytes], j: int) -> int:
+    """Equal words of a[i:] and b[j:] before the first that differ; ever longer slices are compared."""
+    length, step = 0, 8
+    while True:
+        x, y = a[i + length : i + length + step], b[j + length : j + length + step]
+        if x != y:
+            break
+        length += len(x)
+        if len(x) < step:
+            return length
+        step = min(2 * step, _MOST_WORDS)
+    for p, q in zip(x, y, strict=False):
+        if p != q:
+            break
+        length += 1
+    return length
+
+
 def _grown(a: list[bytes], b: list[bytes], loss: float) -> list[tuple[int, int, int, int]]:
     """Runs of equal words (i, j, length, unequal words before) that follow one that ended before a[0] and b[0]."""
     found, i, j, behind = [], 0, 0, 0.0
     while behind <= loss * _LOST:
+        # The few words in reach are cut out once; most ends have none in common.
+        near, far = a[i : i + 6], b[j : j + 6]
+        if set(near).isdisjoint(far):
+            return found
         for x, y in _STEPS:
-            if a[i + x : i + x + 1] == b[j + y : j + y + 1] and a[i + x : i + x + 2] == b[j + y : j + y + 2]:
+            if near[x : x + 1] == far[y : y + 1] and near[x : x + 2] == far[y : y + 2]:
                 break
         else:
             return found
-        i, j, length = i + x, j + y, 0
-        while i + length < len(a) and j + length < len(b) and a[i + length] == b[j + length]:
-            length += 1
+        i, j = i + x, j + y
+        length = _equal_words(a, i, b, j)
         if not length:
             return found
         found.append((i, j, length, max(x, y)))
@@ -457,11 +488,11 @@ def _passages(
     for i, j in anchors:
         if words[i] != source[j] or runs and (i < runs[-1][0] + runs[-1][2] or j < runs[-1][1] + runs[-1][2]):
             continue
-        while not runs and i and j and words[i - 1] == source[j - 1]:
-            i, j = i - 1, j - 1
-        length = 0
-        while i + length < len(words) and j + length < len(source) and words[i + length] == source[j + length]:
-            length += 1
+        if not runs:
+            before = min(i, j)
+            back = _equal_words(words[i - before : i][::-1], 0, source[j - before : j][::-1], 0)
+            i, j = i - back, j - back
+        length = _equal_words(words, i, source, j)
         equal = unequal = 0
         if runs:
             a, b = words[runs[-1][0] + runs[-1][2] : i], source[runs[-1][1] + runs[-1][2] : j]
@@ -495,8 +526,8 @@ def _passages(
 
 
 def _word_starts(text: bytes) -> np.ndarray:
-    space = _IS_SPACE[np.frombuffer(text, np.uint8)]
-    return np.flatnonzero(~space & np.r_[True, space[:-1]]) if len(space) else np.zeros(0, np.int64)
+    space = _IS_SPACE[np.frombuffer(b" " + text, np.uint8)]
+    return np.flatnonzero(space[:-1] & ~space[1:])
 
 
 def repeated_ranges(
