@@ -1,6 +1,6 @@
 """Classification metrics computed from one aggregate over the predictions."""
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,15 +27,16 @@ def unpaired(
 
 
 def confusion(
-    rows: DataFrame, label: str = "label", pred: str = "pred", by: Sequence[str] = ()
+    rows: DataFrame, label: str = "label", pred: str = "pred", by: Sequence[str] = (), also: Mapping[str, Column] = {}
 ) -> DataFrame:
-    """Counts ``tp, tn, fp, fn`` per group; only 0/1 labels and predictions count."""
+    """Counts ``tp, tn, fp, fn`` per group; only 0/1 labels and predictions count. ``also`` are further aggregates."""
     y, p = F.col(label), F.col(pred)
     return rows.groupBy(*by).agg(
         F.count_if((y == 1) & (p == 1)).alias("tp"),
         F.count_if((y == 0) & (p == 0)).alias("tn"),
         F.count_if((y == 0) & (p == 1)).alias("fp"),
         F.count_if((y == 1) & (p == 0)).alias("fn"),
+        *[value.alias(name) for name, value in also.items()],
     )
 
 
@@ -44,16 +45,16 @@ def _ratio(part: Column, whole: Column) -> Column:
 
 
 def binary_metrics(
-    rows: DataFrame, label: str = "label", pred: str = "pred", by: Sequence[str] = ()
+    rows: DataFrame, label: str = "label", pred: str = "pred", by: Sequence[str] = (), also: Mapping[str, Column] = {}
 ) -> DataFrame:
-    """``acc, bal_acc, f1_0, f1_1, sup_0, sup_1, auc`` per group.
+    """``acc, bal_acc, f1_0, f1_1, sup_0, sup_1, auc`` per group, and ``also`` from the same pass.
 
     Balanced accuracy averages over the classes that occur among the labels.
     ``auc`` is the area for the hard predictions and NULL for a single class.
     """
     tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
     recall_1, recall_0 = _ratio(tp, tp + fn), _ratio(tn, tn + fp)
-    return confusion(rows, label, pred, by).select(
+    return confusion(rows, label, pred, by, also).select(
         *by,
         _ratio(tp + tn, tp + tn + fp + fn).alias("acc"),
         F.coalesce((recall_0 + recall_1) / 2, recall_0, recall_1).alias("bal_acc"),
@@ -62,6 +63,7 @@ def binary_metrics(
         (tn + fp).alias("sup_0"),
         (tp + fn).alias("sup_1"),
         ((recall_0 + recall_1) / 2).alias("auc"),
+        *also,
     )
 
 
@@ -159,6 +161,13 @@ def word_metrics(rows: DataFrame, truth: str = "gt", pred: str = "pred") -> Data
     )
 
 
+def log_loss(label: str = "label", conf: str = "conf") -> Column:
+    """The mean log loss of scores, an aggregate."""
+    y, p = F.col(label).cast("double"), F.col(conf)
+    safe = F.least(F.greatest(p, F.lit(LOG_EPSILON)), F.lit(1 - LOG_EPSILON))
+    return F.avg(-(y * F.log(safe) + (1 - y) * F.log(1 - safe)))
+
+
 def mean_loss(
     rows: DataFrame,
     label: str = "label",
@@ -167,8 +176,7 @@ def mean_loss(
 ) -> DataFrame:
     """``log_loss`` of the scores and ``logit_loss``, which reads them as logits."""
     y, p = F.col(label).cast("double"), F.col(conf)
-    safe = F.least(F.greatest(p, F.lit(LOG_EPSILON)), F.lit(1 - LOG_EPSILON))
     return rows.groupBy(*by).agg(
-        F.avg(-(y * F.log(safe) + (1 - y) * F.log(1 - safe))).alias("log_loss"),
+        log_loss(label, conf).alias("log_loss"),
         F.avg(F.log1p(F.exp(p)) - y * p).alias("logit_loss"),
     )

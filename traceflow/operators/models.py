@@ -35,6 +35,8 @@ CELL_KEY = ("model", "n", "layers")
 # Values a step's difficulty and answer can take in the one-hot form.
 DIFFICULTIES = (1, 2, 3)
 ANSWERS = (0, 1)
+# Training rows of one task of a grid's fits.
+TASK_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -170,7 +172,7 @@ def run_grid(
     """Fit every cell and log its metrics on validation and test.
 
     ``labelled`` holds sequences of all lengths with their block. The driver
-    only submits fits, ``parallelism`` at a time, and keeps their weights and two metric rows per
+    only submits fits, ``parallelism`` at a time whatever their lengths, and keeps their weights and two metric rows per
     fit; features are computed once per length and stay on the executors. With
     several epochs a perceptron and the linear cells go on from their last weights; trees
     are fitted with a budget of iterations that grows with the epoch. All linear cells of a
@@ -181,48 +183,74 @@ def run_grid(
     spark = labelled.sparkSession
     cells = list(cells)
     per_step = 3 if with_kc else 2
-    records = []
     done = log.finished() if log else set()
     left = [(i, c) for i, c in enumerate(cells) if (c.family, c.n, c.layers) not in done]
-    for n in dict.fromkeys(c.n for _, c in left):
+    lengths = list(dict.fromkeys(c.n for _, c in left))
+    # One pass makes the sequences of all lengths; it is cached until their features are.
+    lists = ("answers", "difficulties", *["kc_ids"] * with_kc)
+    rows = _split(labelled.where(F.col("n").isin(lengths)), fold).select("student_id", "n", "chunk", "split", *lists)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    cached = [rows]
+
+    @inheritable_thread_target(spark)
+    def prepare(n: int) -> tuple[DataFrame, DataFrame]:
         inputs = (
-            model_inputs(_split(labelled.where(F.col("n") == n), fold), n, with_kc)
+            model_inputs(rows.where(F.col("n") == n), n, with_kc)
             .select("student_id", "chunk", "split", "label", "vector")
             .persist(StorageLevel.MEMORY_AND_DISK)
         )
+        cached.append(inputs)
         train = inputs.where(F.col("split") == "train")
         if balance:
             train = downsample(train, "label", ["student_id", "chunk"], seed)
         train = train.select("label", "vector").persist(StorageLevel.MEMORY_AND_DISK)
-        held = inputs.where(F.col("split") != "train")
+        cached.append(train)
+        # A fit is hundreds of jobs, each with a task per partition.
+        tasks = max(1, -(-train.count() // TASK_ROWS))
+        return train.coalesce(tasks), inputs.where(F.col("split") != "train")
+
+    @inheritable_thread_target(spark)
+    def run(group: list[tuple[int, Cell]]) -> tuple[DataFrame, list[tuple]]:
+        family, n = group[0][1].family, group[0][1].n
+        train, held = data[n]
+        if family == linear.NAME:
+            depths = [cell.layers for _, cell in group]
+            fitted = modeltables.from_linear(linear.fit(train, n, depths, epochs, iterations))
+        else:
+            fitted = _fit_epochs(train, group[0][1], n * per_step, epochs, iterations, seed)
+        if not log:
+            return fitted, []
+        rows = _log_rows(fitted, held, group)
+        for _, of_cell in groupby(rows, key=lambda r: r[:3]):
+            log.add(of_cell)
+        return fitted, rows
 
+    @inheritable_thread_target(spark)
+    def scored(n: int) -> list[tuple]:
+        models = [f for group, (f, _) in zip(groups, fitted, strict=True) if group[0][1].n == n]
+        return _log_rows(reduce(DataFrame.unionByName, models), data[n][1], [(i, c) for i, c in left if c.n == n])
+
+    groups = []
+    for n in lengths:
         own = [(i, cell) for i, cell in left if cell.n == n]
         straight = [(i, cell) for i, cell in own if cell.family == linear.NAME]
-        groups = [straight] * bool(straight) + [[one] for one in own if one[1].family != linear.NAME]
-
-        @inheritable_thread_target(spark)
-        def run(group: list[tuple[int, Cell]]) -> tuple[DataFrame, list[tuple]]:
-            if group is straight:
-                depths = [cell.layers for _, cell in group]
-                fitted = modeltables.from_linear(linear.fit(train, n, depths, epochs, iterations))
-            else:
-                fitted = _fit_epochs(train, group[0][1], n * per_step, epochs, iterations, seed)
-            if not log:
-                return fitted, []
-            rows = _log_rows(fitted, held, group)
-            for _, of_cell in groupby(rows, key=lambda r: r[:3]):
-                log.add(of_cell)
-            return fitted, rows
-
-        try:
-            train.count()
-            with ThreadPool(min(parallelism, len(groups))) as pool:
-                fitted = [f for f, _ in pool.map(run, groups)]
+        groups += [straight] * bool(straight) + [[one] for one in own if one[1].family != linear.NAME]
+    if not log:
+        # Those with the most jobs first, so that none of them is alone at the end.
+        groups.sort(key=lambda group: -group[-1][1].layers)
+    records = []
+    try:
+        with ThreadPool(max(1, min(parallelism, len(groups)))) as pool:
+            if lengths:
+                rows.count()
+            data = dict(zip(lengths, pool.map(prepare, lengths, chunksize=1), strict=True))
+            rows.unpersist()
+            fitted = pool.map(run, groups, chunksize=1)
             if not log:
-                records += _log_rows(reduce(DataFrame.unionByName, fitted), held, own)
-        finally:
-            train.unpersist()
-            inputs.unpersist()
+                records = [row for rows in pool.map(scored, lengths, chunksize=1) for row in rows]
+    finally:
+        for kept in cached:
+            kept.unpersist()
     if log:
         return log.read((c.family, c.n, c.layers) for c in cells)
     return spark.createDataFrame(records, GRID_LOG)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceflow.functions.parsing import threshold
-from traceflow.operators.metrics import binary_metrics, mean_loss
+from traceflow.operators.metrics import binary_metrics, log_loss
 from traceflow.session import shared_folder
 
 # What tells models apart.
@@ -26,6 +26,11 @@ TABLE = (
     "nodes: array<struct<feature: int, threshold: double, low: int, high: int, value: double>>>>"
 )
 _TREES = TABLE.partition("trees ")[2]
+# What is read of the node tables that Spark saves trees as.
+_SAVED = (
+    "treeID int, nodeData struct<id: int, prediction: double, leftChild: int, rightChild: int, "
+    "split: struct<featureIndex: int, leftCategoriesOrThreshold: array<double>>>"
+)
 
 
 def from_linear(fitted: DataFrame) -> DataFrame:
@@ -53,27 +58,21 @@ def from_trees(spark: SparkSession, model: GBTClassificationModel, key: tuple) -
     """Boosted trees, from the node tables that Spark saves them as."""
     path = f"{shared_folder(spark)}/traceflow-{uuid.uuid4().hex}"
     model.save(path)
-    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
+    # The fitted model is on the driver already, and so are its few nodes.
     leaf = F.col("leftChild") < 0
-    node = F.struct(
+    nodes = spark.read.schema(_SAVED).parquet(f"{path}/data").select("treeID", "nodeData.*").select(
+        "treeID",
         "id",
-        F.when(~leaf, F.col("split.featureIndex")).alias("feature"),
-        F.when(~leaf, F.get("split.leftCategoriesOrThreshold", F.lit(0))).alias("threshold"),
-        F.col("leftChild").alias("low"),
-        F.col("rightChild").alias("high"),
-        F.col("prediction").alias("value"),
-    )
-    grown = [(i, float(w), t.depth) for i, (w, t) in enumerate(zip(model.treeWeights, model.trees, strict=True))]
-    by_tree = nodes.groupBy("treeID").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
-    bare = F.transform("nodes", lambda v: F.struct(*[v[f].alias(f) for f in ("feature", "threshold", "low", "high", "value")]))
-    tree = F.struct("treeID", "weight", "depth", bare.alias("nodes"))
-    whole = (
-        by_tree.join(F.broadcast(spark.createDataFrame(grown, "treeID int, weight double, depth int")), "treeID")
-        .agg(F.array_sort(F.collect_list(tree)).alias("trees"))
-        .select(F.transform("trees", lambda t: F.struct(t["weight"].alias("weight"), t["depth"].alias("depth"), t["nodes"].alias("nodes"))).alias("trees"))
+        F.when(~leaf, F.col("split.featureIndex")),
+        F.when(~leaf, F.get("split.leftCategoriesOrThreshold", F.lit(0))),
+        "leftChild",
+        "rightChild",
+        "prediction",
     )
-    # The row is on the driver already, as the fitted model.
-    return spark.createDataFrame([(*key, None, whole.first()["trees"])], TABLE)
+    grown = [(float(w), t.depth, []) for w, t in zip(model.treeWeights, model.trees, strict=True)]
+    for tree, _, *node in sorted(nodes.collect(), key=lambda r: r[:2]):
+        grown[tree][2].append(tuple(node))
+    return spark.createDataFrame([(*key, None, grown)], TABLE)
 
 
 def node_rows(models: DataFrame) -> DataFrame:
@@ -135,8 +134,7 @@ def score(models: DataFrame, inputs: DataFrame) -> DataFrame:
 
 
 def epoch_metrics(models: DataFrame, held: DataFrame) -> DataFrame:
-    """Metrics and mean loss of every model, epoch and split of ``held``."""
+    """Metrics and mean loss of every model, epoch and split of ``held``, each row scored once."""
     by = [*MODEL_KEY, "split"]
-    scored = score(models, held).select(*by, "label", "pred", "conf")
-    loss = mean_loss(scored, by=by).select(*by, F.col("log_loss").alias("loss"))
-    return binary_metrics(scored, by=by).join(loss, by)
+    scored = score(models, held.where(F.col("split").isNotNull())).select(*by, "label", "pred", "conf")
+    return binary_metrics(scored, by=by, also={"loss": log_loss()})
