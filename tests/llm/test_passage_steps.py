@@ -1,6 +1,7 @@
 """Alignment and chaining take few Python steps for long equal runs and for pairs without a chain."""
 
 import random
+import re
 import sys
 
 import numpy as np
@@ -66,6 +67,42 @@ def test_pairs_over_the_ends_of_batches():
     assert found == [[2, 4]] * 3
 
 
+def test_long_seeds_are_told_beside_the_chains():
+    """Anchors of a document with itself give marks alone; at any cut into batches."""
+    rows = [(1, 1, 5, 80, 5, 80, True), (2, 1, 5, 80, 5, 80, True), (2, 1, 90, 99, 90, 99, False), (2, 2, 3, 60, 3, 60, True), (3, 1, 7, 9, 5, 8, False)]
+    for ids in (pa.int64(), pa.string()):
+        for many in (1, 2, 5):
+            parts = [rows[at : at + many] for at in range(0, len(rows), many)]
+            kinds = [ids, ids, *[pa.int32()] * 4, pa.bool_()]
+            batches = [
+                pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=list("abcdefg"))
+                for part in parts
+            ]
+            found = [r for x in passages._chain_batches(iter(batches)) for r in x.to_pylist()]
+            marks = {}
+            for r in found:
+                if r["source"] is None:
+                    marks.setdefault(int(r["doc_id"]), []).extend(r["at"])
+            assert marks == {1: [5], 2: [5, 3]}
+            assert [(int(r["doc_id"]), int(r["source"]), r["at"]) for r in found if r["source"] is not None] == [(2, 1, [5, 90])]
+
+
+def test_texts_are_read_twice_for_seeds(spark, monkeypatch):
+    """Once for first occurrences and once for anchors, from which long seeds are known as well."""
+    used, stored = [], passages.store
+
+    def storing(frame):
+        used.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return stored(frame)
+
+    monkeypatch.setattr(passages, "store", storing)
+    words = " ".join(f"w{i}" for i in range(70))
+    docs = spark.createDataFrame([(1, "x " + words), (2, words + " y"), (3, "z")], "doc_id long, text string")
+    rows = {r["doc_id"]: r["n_removed"] for r in passages.remove_passages(docs).collect()}
+    assert rows == {1: 0, 2: 70, 3: 0}
+    assert sum(len(re.findall(r"MapInArrow .*\[seed#", plan)) for plan in used) == 2
+
+
 def test_equal_words_at_all_places():
     rng = random.Random(5)
     for _ in range(300):

@@ -119,7 +119,7 @@ def seeds_of(texts: list[bytes], kinds=SEEDS) -> Iterator[tuple[np.ndarray, ...]
         yield seed.view(np.int64), o, begin[chosen] - base, end[chosen + k - 1] - base, first
 
 
-def _seed_batches(batches: Iterator[pa.RecordBatch], kinds=SEEDS) -> Iterator[pa.RecordBatch]:
+def _seed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
         texts, numbers, held = [], [], 0
@@ -128,7 +128,7 @@ def _seed_batches(batches: Iterator[pa.RecordBatch], kinds=SEEDS) -> Iterator[pa
             numbers.append(i)
             held += len(texts[-1])
             if held >= _SLAB or i + 1 == batch.num_rows:
-                for h, o, a, b, first in seeds_of(texts, kinds):
+                for h, o, a, b, first in seeds_of(texts):
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(h),
@@ -142,8 +142,11 @@ def _seed_batches(batches: Iterator[pa.RecordBatch], kinds=SEEDS) -> Iterator[pa
                 texts, numbers, held = [], [], 0
 
 
-def _anchors(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Seeds of each document next to their first occurrence in an earlier one; and the long seeds that repeat."""
+def _anchors(docs: DataFrame) -> DataFrame:
+    """Seeds of each document next to their first occurrence in an earlier one.
+
+    ``long`` tells long seeds; those that repeat are also next to themselves in their first document.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", utf8("text").alias("text")).where("doc_id is not null and text is not null")
     seeds = rows.mapInArrow(_seed_batches, f"seed long, doc_id {kind}, start int, end int, first boolean")
@@ -156,13 +159,13 @@ def _anchors(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     # Written first: few seeds repeat, and the shuffle of all seeds is over before the next one.
     source = store(source.where("source < _last").drop("_last"))
-    anchors = (
+    long = F.col("seed").bitwiseAND(F.lit(1)) == 1
+    return (
         seeds.drop("first")
         .join(source, "seed")
-        .where("doc_id > source")
-        .select("doc_id", "source", "start", "end", "source_start", "source_end")
+        .where((F.col("doc_id") > F.col("source")) | (F.col("doc_id") == F.col("source")) & long)
+        .select("doc_id", "source", "start", "end", "source_start", "source_end", long.alias("long"))
     )
-    return anchors, source.where(F.col("seed").bitwiseAND(F.lit(1)) == 1).select("seed")
 
 
 def _word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -196,18 +199,13 @@ def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(hashed), ids, pa.array(at)], names=["window", "doc_id", "at"])
 
 
-def _exact_windows(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+def _exact_windows(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """(_exact_doc, _windows): places of the windows of 50 words that an earlier document has, with the first one.
 
-    ``repeated`` are the long seeds of more than one doc_id.
+    ``marks`` has (doc_id, _starts): the long seeds of each document that more than one doc_id has.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", utf8("text").alias("text")).where("doc_id is not null and text is not null")
-    seeds = rows.mapInArrow(
-        lambda batches: _seed_batches(batches, SEEDS[-1:]),
-        f"seed long, doc_id {kind}, start int, end int, first boolean",
-    ).select("seed", "doc_id", "start")
-    marks = store(seeds.join(repeated, "seed").groupBy("doc_id").agg(F.collect_list("start").alias("_starts")))
     windows = store(
         rows.join(marks, "doc_id")
         .select("doc_id", "text", "_starts")
@@ -333,8 +331,27 @@ def _thinned(points: list[tuple[int, int, int, int]]) -> tuple[list[tuple[int, i
     return kept, repeats
 
 
+_CHAIN = ["doc_id", "source", "at", "source_at", "source_from", "source_to"]
+
+
+def _marks(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Starts of the long seeds of each document, as rows of chains without a source."""
+    long = batch.filter(batch.column(6))
+    ids, many = long.column(0), long.num_rows
+    docs = ids.to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.r_[many > 0, docs[1:] != docs[:-1]][:many])
+    at = pa.ListArray.from_arrays(pa.array(np.r_[cuts, many], pa.int32()), long.column(2))
+    points = pa.nulls(len(cuts), pa.list_(pa.int32()))
+    place = pa.nulls(len(cuts), pa.int32())
+    columns = [ids.take(pa.array(cuts)), pa.nulls(len(cuts), ids.type), at, points, place, place]
+    return pa.RecordBatch.from_arrays(columns, names=_CHAIN)
+
+
 def _chain_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chains from anchors sorted by (doc_id, source); one pair is held at a time."""
+    """Chains from anchors sorted by (doc_id, source); one pair is held at a time.
+
+    Anchors that tell which of them are long also give ``_marks``; those of a document with itself do only that.
+    """
     held: list[list[np.ndarray]] = []
     key = None
     out: list[tuple] = []
@@ -358,13 +375,16 @@ def _chain_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         kinds = [ids_type, ids_type, pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32()]
         made = pa.RecordBatch.from_arrays(
             [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)],
-            names=["doc_id", "source", "at", "source_at", "source_from", "source_to"],
+            names=_CHAIN,
         )
         out.clear()
         return made
 
     ids_type = pa.int64()
     for batch in batches:
+        if batch.num_columns > 6 and batch.num_rows:
+            yield _marks(batch)
+            batch = batch.filter(pc.not_equal(batch.column(0), batch.column(1)))
         if not batch.num_rows:
             continue
         ids_type = batch.column(0).type
@@ -661,16 +681,17 @@ def remove_passages(docs: DataFrame) -> DataFrame:
 def _removed(docs: DataFrame) -> DataFrame:
     """``remove_passages`` with ``kept`` as bytes and the digest of each text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    anchors, repeated = _anchors(docs)
-    sorted_anchors = anchors.repartition("doc_id", "source").sortWithinPartitions(
+    sorted_anchors = _anchors(docs).repartition("doc_id", "source").sortWithinPartitions(
         "doc_id", "source", "start", "source_start"
     )
-    chains = store(
+    found = store(
         sorted_anchors.mapInArrow(
             _chain_batches,
             f"doc_id {kind}, source {kind}, at {_POINTS}, source_at {_POINTS}, source_from int, source_to int",
         )
     )
+    chains = found.where("source is not null")
+    marks = found.where("source is null").groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("_starts"))
     sources = docs.select(F.col("doc_id").alias("source"), utf8("text").alias("_text")).where("source is not null")
     begin = F.greatest(F.lit(0), F.col("source_from") - CONTEXT)
     size = F.col("source_to") + CONTEXT - begin
@@ -690,7 +711,7 @@ def _removed(docs: DataFrame) -> DataFrame:
     )
     cut, schema = _cut_batches(kind)
     texts = docs.select("doc_id", utf8("text").alias("_text"), F.xxhash64(utf8("text")).alias("_digest"))
-    exact = _exact_windows(docs, repeated)
+    exact = _exact_windows(docs, marks)
     joined = texts.join(per_doc, texts["doc_id"] == per_doc["_doc"], "left")
     joined = joined.join(exact, texts["doc_id"] == exact["_exact_doc"], "left")
     return joined.select("doc_id", "_text", "_pieces", "_windows", "_digest").mapInArrow(cut, schema)
