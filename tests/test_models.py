@@ -80,6 +80,14 @@ def test_more_rows_make_more_tasks(labelled, monkeypatch):
     assert parts == [-(-train // 1000)] and parts[0] > 1
 
 
+def test_perceptrons_keep_their_partitions(labelled, monkeypatch):
+    """The rows of a partition's last block count more, so other partitions would give another model."""
+    parts, fit = [], models.fit
+    monkeypatch.setattr(models, "fit", lambda train, *a, **b: parts.append(train.rdd.getNumPartitions()) or fit(train, *a, **b))
+    models.run_grid(labelled.repartition(8), models.grid((5,), (1,), ("layers",)), iterations=1)
+    assert parts == [8]
+
+
 def test_held_rows_are_scored_once(spark, labelled):
     """One plan with one aggregate, and the loss as it is alone."""
     rows = models.model_inputs(labelled, 5).withColumn("split", splits.split_name(1)).where("split <> 'train'")

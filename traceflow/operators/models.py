@@ -35,7 +35,7 @@ CELL_KEY = ("model", "n", "layers")
 # Values a step's difficulty and answer can take in the one-hot form.
 DIFFICULTIES = (1, 2, 3)
 ANSWERS = (0, 1)
-# Training rows of one task of a grid's fits.
+# Training rows of one task of a grid's fits, but for perceptrons.
 TASK_ROWS = 50_000
 
 
@@ -193,7 +193,7 @@ def run_grid(
     cached = [rows]
 
     @inheritable_thread_target(spark)
-    def prepare(n: int) -> tuple[DataFrame, DataFrame]:
+    def prepare(n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         inputs = (
             model_inputs(rows.where(F.col("n") == n), n, with_kc)
             .select("student_id", "chunk", "split", "label", "vector")
@@ -207,12 +207,14 @@ def run_grid(
         cached.append(train)
         # A fit is hundreds of jobs, each with a task per partition.
         tasks = max(1, -(-train.count() // TASK_ROWS))
-        return train.coalesce(tasks), inputs.where(F.col("split") != "train")
+        # Spark's perceptron weighs the last, shorter block of a partition more: its partitions stay as they are.
+        return train, train.coalesce(tasks), inputs.where(F.col("split") != "train")
 
     @inheritable_thread_target(spark)
     def run(group: list[tuple[int, Cell]]) -> tuple[DataFrame, list[tuple]]:
         family, n = group[0][1].family, group[0][1].n
-        train, held = data[n]
+        spread, few, held = data[n]
+        train = spread if family == "layers" else few
         if family == linear.NAME:
             depths = [cell.layers for _, cell in group]
             fitted = modeltables.from_linear(linear.fit(train, n, depths, epochs, iterations))
@@ -228,7 +230,7 @@ def run_grid(
     @inheritable_thread_target(spark)
     def scored(n: int) -> list[tuple]:
         models = [f for group, (f, _) in zip(groups, fitted, strict=True) if group[0][1].n == n]
-        return _log_rows(reduce(DataFrame.unionByName, models), data[n][1], [(i, c) for i, c in left if c.n == n])
+        return _log_rows(reduce(DataFrame.unionByName, models), data[n][2], [(i, c) for i, c in left if c.n == n])
 
     groups = []
     for n in lengths:
